@@ -54,7 +54,11 @@ def _with_items(nodes: DataFrame) -> DataFrame:
     spans = F.array_compact(F.array(*[span(i) for i in range(len(FIELDS))]))
     # the document row has one empty span, which carries the URL along
     document = F.struct(
-        F.lit(-1).cast("long").alias("seq"), "id", "id", F.lit(-1).alias("item_id"), F.col("url").alias("field")
+        F.lit(-1).cast("long").alias("seq"),
+        F.col("id").alias("id"),
+        F.col("id").alias("end"),
+        F.lit(-1).alias("item_id"),
+        F.col("url").alias("field"),
     )
     return rows.select(
         "page_id",

@@ -88,7 +88,10 @@ def _structured_text(rows: DataFrame) -> DataFrame:
     span = F.struct(F.col("id").alias("seq"), "id", "end", F.col("block").alias("tag"))
     url_row = F.col("id") == 0
     document = F.struct(
-        F.lit(-1).alias("seq"), "id", "id", F.coalesce("url", F.lit("")).alias("tag")
+        F.lit(-1).alias("seq"),
+        F.col("id").alias("id"),
+        F.col("id").alias("end"),
+        F.coalesce("url", F.lit("")).alias("tag"),
     )
     rows = rows.select(
         "page_id",
