@@ -39,7 +39,7 @@ def clean_html(nodes: DataFrame) -> DataFrame:
     come back as text at both ends of their interval.
     """
     kept = N.drop_subtrees(nodes, N.is_element(*N.EXCLUDED_ELEMENTS, "link"))
-    title = F.min(F.when(N.is_element("title"), F.struct("id", "end"))).over(N.PAGE)
+    title = F.min(F.when(N.is_element("title"), F.struct("id", "end"))).over(N.page_window())
     kept = kept.withColumn("main", N.main_span()).withColumn("title", title)
     whole = F.col("main.p") >= len(N.CONTENT_SELECTORS)
     in_main = whole | ((F.col("id") >= F.col("main.id")) & (F.col("id") < F.col("main.end")))

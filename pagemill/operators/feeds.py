@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .nodes import PAGE, collect_in_spans, in_order, is_element, page_string, span_text
+from .nodes import collect_in_spans, in_order, is_element, page_string, page_window, span_text
 from .parse import fragment_text
 
 # Fields of a feed item, in output order.
@@ -28,9 +28,9 @@ def _with_items(nodes: DataFrame) -> DataFrame:
         page_string().alias("item"),
     )
     rows = rows.filter(F.col("tag").isNotNull() | F.col("item").isNotNull() | (F.col("id") == 0))
-    after = PAGE.orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+    after = page_window().orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(
-        "item_tag", F.when(F.max(F.col("tag") == "item").over(PAGE), "item").otherwise("entry")
+        "item_tag", F.when(F.max(F.col("tag") == "item").over(page_window()), "item").otherwise("entry")
     )
     for i, name in enumerate(FIELDS):
         rows = rows.withColumn(
@@ -95,7 +95,7 @@ def extract_feed_text(nodes: DataFrame) -> DataFrame:
     """(page_id, url, text) per feed page: item fields joined by blank lines, or all text when there are no items."""
     rows = _with_items(nodes)
     is_item = (F.col("id") > 0) & F.col("spans").isNotNull()
-    rows = rows.withColumn("has_items", F.max(is_item).over(PAGE))
+    rows = rows.withColumn("has_items", F.max(is_item).over(page_window()))
     useful = rows.filter("has_items and (item is not null or size(spans) > 0)")
     joined = (
         _fields(collect_in_spans(useful.select("page_id", "id", "item", "spans")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..functions.urls import absolute_url, url_parts
 from ..options import MEDIA_TYPES
-from .nodes import PAGE, collect_in_spans, is_element, main_priority, main_span
+from .nodes import collect_in_spans, is_element, main_priority, main_span
 
 # Media kinds in output order, and the type and option name of each.
 _KINDS = {

@@ -7,7 +7,7 @@ exchange and one sort.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -38,9 +38,22 @@ CONTENT_SELECTORS = [
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 BLOCKS = HEADINGS + ["p", "li"]
 
-PAGE = Window.partitionBy("page_id")
-IN_ORDER = PAGE.orderBy("id")
-SO_FAR = IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+def page_window() -> WindowSpec:
+    return Window.partitionBy("page_id")
+
+
+def by_id() -> WindowSpec:
+    return page_window().orderBy("id")
+
+
+def so_far() -> WindowSpec:
+    return by_id().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before() -> WindowSpec:
+    return by_id().rowsBetween(Window.unboundedPreceding, -1)
+
 
 
 # --- predicates ---------------------------------------------------------
@@ -86,7 +99,7 @@ def drop_subtrees(nodes: DataFrame, condition: Column) -> DataFrame:
     Intervals nest, so the greatest `end` among matches so far tells whether
     the current row lies inside one.
     """
-    cut = F.max(F.when(condition, F.col("end"))).over(SO_FAR)
+    cut = F.max(F.when(condition, F.col("end"))).over(so_far())
     return (
         nodes.withColumn("_cut", cut)
         .filter(F.col("_cut").isNull() | (F.col("_cut") <= F.col("id")))
@@ -112,7 +125,7 @@ def main_span() -> Column:
     The document row always ranks, so every page has one.
     """
     rank = main_priority()
-    return F.min(F.when(rank.isNotNull(), F.struct(rank.alias("p"), "id", "end"))).over(PAGE)
+    return F.min(F.when(rank.isNotNull(), F.struct(rank.alias("p"), "id", "end"))).over(page_window())
 
 
 def select_main_content(nodes: DataFrame) -> DataFrame:
@@ -132,8 +145,7 @@ def anchor_end() -> Column:
     end so far, when beyond the row, belongs to the outermost open anchor and
     names it uniquely.
     """
-    before = IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.when(is_element("a"), F.col("end"))).over(before)
+    reach = F.max(F.when(is_element("a"), F.col("end"))).over(before())
     return F.when(reach > F.col("id"), reach)
 
 
@@ -212,7 +224,7 @@ def collect_in_spans(rows: DataFrame) -> DataFrame:
         F.when(F.col("item").isNull(), ends).otherwise(F.concat(F.array(own), ends))
     )
     # an end at a position counts the items before that position
-    upto = PAGE.orderBy("pos", "late").rowsBetween(Window.unboundedPreceding, 0)
+    upto = page_window().orderBy("pos", "late").rowsBetween(Window.unboundedPreceding, 0)
     is_item = F.col("what") == 2
     counted = (
         rows.select("page_id", F.explode(events).alias("e"))

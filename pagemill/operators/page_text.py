@@ -50,22 +50,20 @@ def _main_rows(rows: DataFrame) -> DataFrame:
     """Cut excluded elements, choose the main content on what is left, then
     cut page furniture strictly inside it.  The document row stays: it
     carries the URL."""
-    so_far = N.SO_FAR
-    before = N.IN_ORDER.rowsBetween(N.Window.unboundedPreceding, -1)
     end, node = F.col("end"), F.col("id")
 
     def outside(col: str) -> Column:
         return F.col(col).isNull() | (F.col(col) <= node)
 
-    rows = rows.withColumn("x", F.max(F.when(F.col("excluded"), end)).over(so_far)).filter(outside("x"))
+    rows = rows.withColumn("x", F.max(F.when(F.col("excluded"), end)).over(N.so_far())).filter(outside("x"))
     rank = F.when(F.col("rank").isNotNull(), F.struct("rank", "id", "end"))
-    rows = rows.withColumn("m", F.min(rank).over(N.PAGE)).filter(
+    rows = rows.withColumn("m", F.min(rank).over(N.page_window())).filter(
         (node == 0) | ((node > F.col("m.id")) & (node < F.col("m.end")))
     )
     inside = node > F.col("m.id")
     return (
-        rows.withColumn("c", F.max(F.when(F.col("furniture") & inside, end)).over(so_far))
-        .withColumn("a", F.max(F.when(F.col("anchor") & inside, end)).over(before))
+        rows.withColumn("c", F.max(F.when(F.col("furniture") & inside, end)).over(N.so_far()))
+        .withColumn("a", F.max(F.when(F.col("anchor") & inside, end)).over(N.before()))
         .filter(outside("c"))
         .withColumn("a", F.when(F.col("a") > node, F.col("a")))
     )
@@ -74,7 +72,7 @@ def _main_rows(rows: DataFrame) -> DataFrame:
 def _plain_text(rows: DataFrame) -> DataFrame:
     """One line per string; strings of one link share a line."""
     rows = rows.filter("t is not null or id = 0")
-    same_link = F.col("a").eqNullSafe(F.lag("a").over(N.IN_ORDER)) & F.col("a").isNotNull()
+    same_link = F.col("a").eqNullSafe(F.lag("a").over(N.by_id())) & F.col("a").isNotNull()
     piece = F.concat(F.when(same_link, "").otherwise("\n"), F.col("t"))
     return (
         rows.withColumn("piece", piece)

@@ -114,7 +114,7 @@ def p2_parse_feed(spark, sf):
 
 def p3_feed_items(spark, sf):
     items = feed_items(parse_html(pages(spark, sf, rewrites.AS_FEED)))
-    place = F.dense_rank().over(N.PAGE.orderBy("item_id")).cast("long")
+    place = F.dense_rank().over(N.page_window().orderBy("item_id")).cast("long")
     return items.select("page_id", place.alias("item_no"), "field", "text")
 
 
@@ -222,7 +222,7 @@ def _links(spark, sf):
 
 
 def l1_extract_links(spark, sf):
-    place = F.row_number().over(N.PAGE.orderBy("pos")).cast("long")
+    place = F.row_number().over(N.page_window().orderBy("pos")).cast("long")
     return _links(spark, sf).select("page_id", place.alias("n"), "href", "link_url")
 
 
