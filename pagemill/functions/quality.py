@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NON_WS, WS, strip
+from .text import NON_WS, WS, let, strip
 
 # Signal weights, in the order in which they are summed.
 WEIGHTS = {
@@ -106,8 +106,7 @@ def vocabulary_richness(text: Column) -> Column:
             .otherwise((ratio - 0.3) / 0.4)
         )
 
-    # one-element transform: names the word array so it is built once
-    return F.transform(F.array(words), score)[0]
+    return let(words, score)
 
 
 def information_density(text: Column) -> Column:
@@ -118,28 +117,37 @@ def information_density(text: Column) -> Column:
     proper = _count(
         text, rf"(?U)[^\s\x1c-\x1f.!?]{WS}++(?=\p{{IsUppercase}}[^\s\x1c-\x1f.!?])"
     )
-    words = _count(text, rf"(?U){NON_WS}+")
-    long_words = _count(text, rf"(?U){NON_WS}{{9,}}")
+    words = F.split(strip(text), rf"(?U){WS}+")
     statistics = text.rlike(rf"(?iU){_BEGIN}(?:{'|'.join(STATISTICS_TERMS)}){_END}")
 
     def points(condition: Column, value: float) -> Column:
         return F.when(condition, value).otherwise(0.0)
 
-    total = (
-        points(number, 0.3)
-        + points(proper > 2, 0.3)
-        + points(long_words > words * F.lit(0.1), 0.2)
-        + points(statistics, 0.2)
-    )
-    return F.when(words < 10, 0.3).otherwise(F.least(F.lit(1.0), total))
+    def score(words: Column) -> Column:
+        long_words = F.size(F.filter(words, lambda w: F.length(w) > 8))
+        total = (
+            points(number, 0.3)
+            + points(proper > 2, 0.3)
+            + points(long_words > F.size(words) * F.lit(0.1), 0.2)
+            + points(statistics, 0.2)
+        )
+        return F.when(F.size(words) < 10, 0.3).otherwise(F.least(F.lit(1.0), total))
+
+    return let(words, score)
 
 
 def research_indicators(text: Column) -> Column:
-    """Number of research phrases found, over three, at most one."""
-    hits = F.lit(0)
-    for pattern in RESEARCH_PATTERNS:
-        hits = hits + text.rlike("(?iU)" + _portable(pattern)).cast("int")
-    return F.least(F.lit(1.0), hits / F.lit(3.0))
+    """Number of research phrases found, over three, at most one.
+
+    One pass for all phrases: a look-ahead captures each phrase without
+    consuming it, so overlapping ones count too.  The phrases differ in their
+    first three letters, which therefore tell them apart.
+    """
+    phrases = "|".join(_portable(p).removeprefix(_BEGIN) for p in RESEARCH_PATTERNS)
+    found = F.regexp_extract_all(text, F.lit(rf"(?iU){_BEGIN}(?=({phrases}))"), F.lit(1))
+    # upper first: folds the odd letters that match without regard to case
+    kinds = F.array_distinct(F.transform(found, lambda p: F.lower(F.upper(F.substring(p, 1, 3)))))
+    return F.least(F.lit(1.0), F.size(kinds) / F.lit(3.0))
 
 
 def noise_penalty(text: Column) -> Column:
@@ -160,7 +168,7 @@ def noise_penalty(text: Column) -> Column:
     noisy = (
         rf"(?idmU)^(?:{inline}*(?:{'|'.join(anchored)})|[^\n]*?(?:{'|'.join(anywhere)}))[^\n]*"
     )
-    filled = rf"(?dmU)^[^\n]*?{NON_WS}[^\n]*"
+    filled = rf"(?U){NON_WS}[^\n]*"
     ratio = _count(text, noisy) / F.greatest(F.lit(1), _count(text, filled))
     return F.lit(1.0) - F.least(F.lit(1.0), ratio)
 
@@ -196,7 +204,7 @@ def quality_score(text: Column) -> Column:
             weighted_sum(fields, WEIGHTS).alias("score"), *[c.alias(n) for n, c in fields.items()]
         )
 
-    scored = F.transform(F.array(parts), combine)[0]
+    scored = let(parts, combine)
     empty = F.struct(
         F.lit(0.0).alias("score"), *[F.lit(None).cast("double").alias(n) for n in WEIGHTS]
     )

@@ -6,6 +6,8 @@ whitespace class below adds them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ URL_START = r"(?:(?:https?|ftp)://|www\.)"
 URL_CHARS = r"[a-zA-Z0-9\-._~:/?#@!$&'()*+,;=%]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(col: Column) -> Column:
     """Cut whitespace of any kind from both ends (`trim` only cuts spaces)."""
     return F.btrim(col, F.lit(WHITESPACE))
@@ -46,17 +53,23 @@ def remove_urls(col: Column) -> Column:
     holds the closing parenthesis.
     """
     url = URL_START + URL_CHARS
-    steps = [
-        (rf"(?iU)\({WS}*{url}{WS}*\)", ""),
-        (rf"(?iU)\[{WS}*{url}{WS}*\]", ""),
-        (rf"(?iU){url}", ""),
+    with_urls = [rf"(?iU)\({WS}*{url}{WS}*\)", rf"(?iU)\[{WS}*{url}{WS}*\]", rf"(?iU){url}"]
+    after = [
         (rf"(?U)\({WS}*\)", ""),
         (rf"(?U)\[{WS}*\]", ""),
         (r" {2,}", " "),
         (rf"(?U)\n{WS}*\n", "\n\n"),
     ]
-    out = col
-    for pattern, replacement in steps:
+
+    def without(text: Column) -> Column:
+        cut = text
+        for pattern in with_urls:
+            cut = F.regexp_replace(cut, pattern, "")
+        # most texts hold no URL and skip three passes
+        return F.when(text.rlike(r"(?iu)://|www\."), cut).otherwise(text)
+
+    out = let(col, without)
+    for pattern, replacement in after:
         out = F.regexp_replace(out, pattern, replacement)
     return strip(out)
 

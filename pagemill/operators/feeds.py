@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +34,11 @@ def _with_items(nodes: DataFrame) -> DataFrame:
     rows = rows.withColumn(
         "item_tag", F.when(F.max(F.col("tag") == "item").over(page_window()), "item").otherwise("entry")
     )
-    for i, name in enumerate(FIELDS):
-        rows = rows.withColumn(
-            f"f{i}", F.min(F.when(F.col("tag") == name, F.struct("id", "end"))).over(after)
-        )
+    following = [
+        F.min(F.when(F.col("tag") == name, F.struct("id", "end"))).over(after).alias(f"f{i}")
+        for i, name in enumerate(FIELDS)
+    ]
+    rows = rows.select("*", *following)
 
     def span(i: int) -> Column:
         at = F.col(f"f{i}")
@@ -71,42 +74,60 @@ def _with_items(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _fields(found: DataFrame) -> DataFrame:
-    """One row per item and field; a field that holds markup is parsed again."""
-    rows = found.select("page_id", F.explode("found").alias("f"), "items").select(
-        "page_id",
-        F.col("f.span.item_id").alias("item_id"),
-        F.col("f.seq").alias("seq"),
-        F.col("f.span.field").alias("field"),
-        span_text(F.col("f")).alias("raw"),
-    )
+def _fields(rows: DataFrame) -> DataFrame:
+    """One row per item and field; a field that holds markup is parsed again.
+
+    The document's row has seq -1 and its URL as `field`.
+    """
+
+    def page(items: Column, found: Column) -> dict[str, Column]:
+        field = lambda f: F.struct(
+            f["seq"].alias("seq"),
+            f["span"]["item_id"].alias("item_id"),
+            f["span"]["field"].alias("field"),
+            span_text(items, f).alias("raw"),
+        )
+        return {"fields": F.transform(found, field)}
+
+    fields = collect_in_spans(rows, page).select("page_id", F.explode("fields").alias("f")).select("page_id", "f.*")
     marked = F.col("raw").contains("<") & F.col("raw").contains(">")
     text = F.when(marked, fragment_text(F.when(marked, F.col("raw")))).otherwise(F.col("raw"))
-    return rows.select("page_id", "item_id", "seq", "field", text.alias("text")).filter("text <> '' or seq < 0")
+    return fields.select("page_id", "item_id", "seq", "field", text.alias("text"))
 
 
 def feed_items(nodes: DataFrame) -> DataFrame:
     """One row per feed item and field that has text."""
     rows = _with_items(nodes).filter("item is not null or size(spans) > 0")
-    return _fields(collect_in_spans(rows)).filter("seq >= 0").drop("seq")
+    return _fields(rows).filter("seq >= 0 and text <> ''").drop("seq")
 
 
-def extract_feed_text(nodes: DataFrame) -> DataFrame:
-    """(page_id, url, text) per feed page: item fields joined by blank lines, or all text when there are no items."""
+def extract_feed_text(
+    nodes: DataFrame, finish: Callable[[Column], Column] = lambda text: text
+) -> DataFrame:
+    """(page_id, url, text) per feed page: item fields joined by blank lines,
+    or all text, one line per string, when there are no items.
+    """
     rows = _with_items(nodes)
     is_item = (F.col("id") > 0) & F.col("spans").isNotNull()
-    rows = rows.withColumn("has_items", F.max(is_item).over(page_window()))
-    useful = rows.filter("has_items and (item is not null or size(spans) > 0)")
-    joined = (
-        _fields(collect_in_spans(useful.select("page_id", "id", "item", "spans")))
-        .withColumn("url", F.when(F.col("seq") < 0, F.col("field")))
-        .withColumn("text", F.when(F.col("seq") >= 0, F.col("text")))
-        .groupBy("page_id")
-        .agg(F.max("url").alias("url"), F.array_join(in_order("text", "seq"), "\n\n").alias("text"))
+    rows = rows.select("*", F.max(is_item).over(page_window()).alias("has_items"))
+    # a page without items gathers its strings here, one with items its fields below
+    line = F.when(~F.col("has_items"), F.col("item"))
+    item = F.when(F.col("has_items"), F.col("item"))
+    spans = F.when(F.col("has_items"), F.col("spans"))
+    fields = _fields(rows.select("page_id", "id", item.alias("item"), spans.alias("spans")).filter("item is not null or size(spans) > 0"))
+    pieces = fields.select(
+        "page_id",
+        F.when(F.col("seq") < 0, F.col("field")).alias("url"),
+        "seq",
+        F.when(F.col("seq") >= 0, F.nullif("text", F.lit(""))).alias("text"),
+    )
+    joined = pieces.groupBy("page_id").agg(
+        F.max("url").alias("url"), finish(F.array_join(in_order("text", "seq"), "\n\n")).alias("text")
     )
     whole = (
-        rows.filter("not has_items and (item is not null or id = 0)")
+        rows.filter("not has_items")
+        .select("page_id", "url", "id", line.alias("line"))
         .groupBy("page_id")
-        .agg(F.max("url").alias("url"), F.array_join(in_order("item"), "\n").alias("text"))
+        .agg(F.max("url").alias("url"), finish(F.array_join(in_order("line"), "\n")).alias("text"))
     )
     return joined.unionByName(whole)

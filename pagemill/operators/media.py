@@ -110,17 +110,19 @@ def _media_rows(nodes: DataFrame, kinds: Iterable[str], base: Column | None = No
         .alias("spans"),
     ).filter("item is not null or spans is not null")
     types = F.create_map(*[F.lit(x) for k in kinds for x in (k, _KINDS[k][0])])
-    urls = F.transform(
-        F.slice("found", 2, F.size("found") - 1),
-        lambda f: F.transform(
-            _own_and_inner(f["span"], F.slice(F.col("items"), f["first"], f["size"])),
-            lambda u: F.struct(types[f["span"]["kind"]].alias("media_type"), u.alias("src")),
-        ),
-    )
-    found = collect_in_spans(rows).filter(F.size("found") > 1)
-    media = found.select(
-        "page_id", F.col("found")[0]["span"]["src"].alias("base"), F.posexplode(F.flatten(urls)).alias("seq", "m")
-    )
+
+    def page(items: Column, found: Column) -> dict[str, Column]:
+        media = F.transform(
+            F.slice(found, 2, F.size(found) - 1),
+            lambda f: F.transform(
+                _own_and_inner(f["span"], F.slice(items, f["first"], f["size"])),
+                lambda u: F.struct(types[f["span"]["kind"]].alias("media_type"), u.alias("src")),
+            ),
+        )
+        # the document's own span comes first and holds the URL
+        return {"base": found[0]["span"]["src"], "media": F.flatten(media)}
+
+    media = collect_in_spans(rows, page).select("page_id", "base", F.posexplode("media").alias("seq", "m"))
     against = F.col("base") if base is None else base
     return media.select("page_id", "seq", "m.media_type", absolute_url(against, F.col("m.src")).alias("url"))
 

@@ -7,10 +7,12 @@ exchange and one sort.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 # Elements that are not content.
 EXCLUDED_ELEMENTS = [
@@ -192,7 +194,9 @@ def in_order(col: str, by: str = "id") -> Column:
     return F.transform(F.sort_array(F.collect_list(F.struct(by, col))), lambda s: s[col])
 
 
-def collect_in_spans(rows: DataFrame) -> DataFrame:
+def collect_in_spans(
+    rows: DataFrame, build: Callable[[Column, Column], dict[str, Column]]
+) -> DataFrame:
     """For many spans `[id, end)` of a page, the items that lie in each one.
 
     `rows` holds (page_id, id, item, spans): a row may carry an item, spans
@@ -202,8 +206,9 @@ def collect_in_spans(rows: DataFrame) -> DataFrame:
     place in the page's item array, and a span is a slice of that array.
     Work grows with rows plus output, never with spans x items.
 
-    Returns one row per page: `items`, and `found`, an array of structs
-    (seq, span, first, size) ordered by seq.
+    `build(items, found)` makes the output columns of a page from its items
+    in order and from `found`, an array of structs (seq, span, first, size)
+    ordered by seq.
     """
     no_span = F.when(F.lit(False), F.get("spans", F.lit(0)))
     no_item = F.when(F.lit(False), F.col("item"))
@@ -224,45 +229,43 @@ def collect_in_spans(rows: DataFrame) -> DataFrame:
         F.when(F.col("item").isNull(), ends).otherwise(F.concat(F.array(own), ends))
     )
     # an end at a position counts the items before that position
-    upto = page_window().orderBy("pos", "late").rowsBetween(Window.unboundedPreceding, 0)
-    is_item = F.col("what") == 2
-    counted = (
-        rows.select("page_id", F.explode(events).alias("e"))
-        .select("page_id", "e.*", (F.col("e.what") == 2).alias("late"))
-        .withColumn("seen", F.sum(F.when(is_item, 1).otherwise(0)).over(upto).cast("int"))
+    late = F.col("e.what") == 2
+    upto = page_window().orderBy("e.pos", late).rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.select("page_id", F.explode(events).alias("e")).select(
+        "page_id", "e.what", "e.item", "e.span", F.count_if(late).over(upto).cast("int").alias("seen")
     )
 
-    def sorted_list(condition: Column, *fields) -> Column:
-        return F.sort_array(F.collect_list(F.when(condition, F.struct(*fields))))
+    def sorted_list(what: int, *fields) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("what") == what, F.struct(*fields))))
 
     seq = F.col("span.seq").alias("seq")
-    return (
-        counted.groupBy("page_id")
-        .agg(
-            sorted_list(is_item, "seen", "item").alias("i"),
-            sorted_list(F.col("what") == 0, seq, "seen", "span").alias("o"),
-            sorted_list(F.col("what") == 1, seq, "seen").alias("c"),
-        )
-        .select(
-            "page_id",
-            F.transform("i", lambda x: x["item"]).alias("items"),
-            F.zip_with(
-                "o",
-                "c",
-                lambda o, c: F.struct(
-                    o["seq"].alias("seq"),
-                    o["span"].alias("span"),
-                    (o["seen"] + 1).alias("first"),
-                    (c["seen"] - o["seen"]).alias("size"),
-                ),
-            ).alias("found"),
-        )
+    gathered = F.struct(
+        sorted_list(2, "seen", "item").alias("i"),
+        sorted_list(0, seq, "seen", "span").alias("o"),
+        sorted_list(1, seq, "seen").alias("c"),
     )
 
+    def page(g: Column) -> Column:
+        found = F.zip_with(
+            g["o"],
+            g["c"],
+            lambda o, c: F.struct(
+                o["seq"].alias("seq"),
+                o["span"].alias("span"),
+                (o["seen"] + 1).alias("first"),
+                (c["seen"] - o["seen"]).alias("size"),
+            ),
+        )
+        items = F.transform(g["i"], lambda x: x["item"])
+        pair = F.struct(items.alias("items"), found.alias("found"))
+        return let(pair, lambda p: F.struct(*[c.alias(n) for n, c in build(p["items"], p["found"]).items()]))
+
+    return counted.groupBy("page_id").agg(let(gathered, page).alias("p")).select("page_id", "p.*")
 
-def span_text(found: Column) -> Column:
+
+def span_text(items: Column, found: Column) -> Column:
     """Strings of one found span, joined without a gap."""
-    return F.array_join(F.slice(F.col("items"), found["first"], found["size"]), "")
+    return F.array_join(F.slice(items, found["first"], found["size"]), "")
 
 
 def format_block(tag: Column, text: Column) -> Column:
@@ -284,7 +287,7 @@ def extract_structured_text(nodes: DataFrame) -> DataFrame:
     """
     rows = nodes.select("page_id", "id", page_string().alias("item"), block_span().alias("spans"))
     rows = rows.filter(F.col("item").isNotNull() | F.col("spans").isNotNull())
-    return join_blocks(collect_in_spans(rows))
+    return collect_in_spans(rows, lambda items, found: {"text": join_blocks(items, found)}).filter("text <> ''")
 
 
 def page_string() -> Column:
@@ -297,11 +300,8 @@ def block_span() -> Column:
     return F.when(is_element(*BLOCKS), F.array(span))
 
 
-def join_blocks(found: DataFrame) -> DataFrame:
-    pieces = F.transform("found", lambda f: format_block(f["span"]["tag"], span_text(f)))
-    return found.filter(F.size("found") > 0).select(
-        "page_id", F.array_join(pieces, "").alias("text")
-    )
+def join_blocks(items: Column, found: Column) -> Column:
+    return F.array_join(F.transform(found, lambda f: format_block(f["span"]["tag"], span_text(items, f))), "")
 
 
 def is_feed(nodes: DataFrame) -> DataFrame:

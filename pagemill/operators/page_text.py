@@ -69,7 +69,7 @@ def _main_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def _plain_text(rows: DataFrame) -> DataFrame:
+def _plain_text(rows: DataFrame, finish: Callable[[Column], Column]) -> DataFrame:
     """One line per string; strings of one link share a line."""
     rows = rows.filter("t is not null or id = 0")
     same_link = F.col("a").eqNullSafe(F.lag("a").over(N.by_id())) & F.col("a").isNotNull()
@@ -77,11 +77,11 @@ def _plain_text(rows: DataFrame) -> DataFrame:
     return (
         rows.withColumn("piece", piece)
         .groupBy("page_id")
-        .agg(F.max("url").alias("url"), F.array_join(N.in_order("piece"), "").alias("text"))
+        .agg(F.max("url").alias("url"), finish(F.array_join(N.in_order("piece"), "")).alias("text"))
     )
 
 
-def _structured_text(rows: DataFrame) -> DataFrame:
+def _structured_text(rows: DataFrame, finish: Callable[[Column], Column]) -> DataFrame:
     """Headings, paragraphs and bullets; blocks inside a link are part of its string."""
     span = F.struct(F.col("id").alias("seq"), "id", "end", F.col("block").alias("tag"))
     url_row = F.col("id") == 0
@@ -99,19 +99,13 @@ def _structured_text(rows: DataFrame) -> DataFrame:
         .when(F.col("block").isNotNull() & F.col("a").isNull(), F.array(span))
         .alias("spans"),
     ).filter("item is not null or spans is not null")
-    found = N.collect_in_spans(rows)
-    # the document's own span comes first and holds the URL
-    blocks = F.slice("found", 2, F.greatest(F.size("found") - 1, F.lit(0)))
-    pieces = F.transform(blocks, lambda f: N.format_block(f["span"]["tag"], N.span_text(f)))
-    return found.select(
-        "page_id", F.col("found")[0]["span"]["tag"].alias("url"), F.array_join(pieces, "").alias("text")
-    )
 
+    def page(items: Column, found: Column) -> dict[str, Column]:
+        # the document's own span comes first and holds the URL
+        blocks = F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0)))
+        return {"url": found[0]["span"]["tag"], "text": finish(N.join_blocks(items, blocks))}
 
-def html_text(nodes: DataFrame, preserve_structure: bool = False) -> DataFrame:
-    """(page_id, url, text) of the pages that are no feeds, before cleaning."""
-    rows = _main_rows(_text_rows(nodes, preserve_structure))
-    return _structured_text(rows) if preserve_structure else _plain_text(rows)
+    return N.collect_in_spans(rows, page)
 
 
 def drop_empty(df: DataFrame) -> DataFrame:
@@ -124,9 +118,7 @@ def clean_text(text: Column) -> Column:
 
 
 def name_texts(df: DataFrame) -> DataFrame:
-    return df.withColumn("content_hash", content_hash(F.col("text"))).withColumn(
-        "filename", content_filename(F.col("text"))
-    )
+    return df.select("*", content_hash(F.col("text")).alias("content_hash"), content_filename(F.col("text")).alias("filename"))
 
 
 def texts_of_nodes(
@@ -135,11 +127,15 @@ def texts_of_nodes(
     options: ExtractOptions = ExtractOptions(),
     paragraph_filter: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Clean, filter and name the texts of HTML pages and feeds."""
-    texts = html_text(html_nodes, options.preserve_structure).unionByName(
-        extract_feed_text(feed_nodes)
-    )
-    texts = texts.withColumn("text", clean_text(F.col("text")))
+    """Clean, filter and name the texts of HTML pages and feeds.
+
+    Cleaning is part of the aggregate that joins a page's strings: the filter
+    on empty text then reads its result, where a projection of its own would
+    be repeated inside the filter.
+    """
+    rows = _main_rows(_text_rows(html_nodes, options.preserve_structure))
+    join = _structured_text if options.preserve_structure else _plain_text
+    texts = join(rows, clean_text).unionByName(extract_feed_text(feed_nodes, clean_text))
     if paragraph_filter is not None:
         texts = texts.withColumn("text", paragraph_filter(F.col("text")))
     return name_texts(drop_empty(texts))

@@ -401,12 +401,12 @@ NAMES = [
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Page text with its name and quality, best first."""
+    """Text, content name and quality of every page."""
     texts = extract_page_text(pages(spark, sf))
     scored = texts.select(
         "page_id", "url", "filename", F.length("text").alias("n_chars"), Q.quality_score(F.col("text")).alias("q")
     )
-    return scored.select("page_id", "url", "filename", "n_chars", "q.*").orderBy(F.desc("score"), "page_id")
+    return scored.select("page_id", "url", "filename", "n_chars", "q.*")
 
 
 def queries() -> dict[str, Query]:
