@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import canonical_url, netloc, request_path, root_url
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage, is_small, work_folder
 from .links import extract_links, same_domain
 from .parse import parse_html
 
@@ -66,9 +68,13 @@ def page_edges(pages: DataFrame, seeds: DataFrame, mode: str = "reference") -> D
     Same-domain links never leave a host, so only pages of seed hosts are
     parsed.  When several stored pages share a URL the one with the least
     page_id counts; that choice is made on narrow rows, never on markup.
+    With too many hosts to broadcast every page is parsed: the walk cannot
+    leave its hosts anyway, and markup is never shuffled.
     """
-    hosts = broadcast_if_small(seeds.select(netloc(F.col("url")).alias("host")).distinct())
-    inside = pages.withColumn("host", netloc(F.col("url"))).join(hosts, "host", "left_semi")
+    hosts = seeds.select(netloc(F.col("url")).alias("host")).distinct()
+    inside = pages
+    if is_small(hosts):
+        inside = pages.join(F.broadcast(hosts), netloc(pages["url"]) == hosts["host"], "left_semi")
     src = canonical_url(F.col("url")).alias("src")
     chosen = inside.select(src, "page_id").groupBy("src").agg(F.min("page_id").alias("page_id"))
     links = same_domain(extract_links(parse_html(inside), mode))
@@ -78,6 +84,23 @@ def page_edges(pages: DataFrame, seeds: DataFrame, mode: str = "reference") -> D
     return edges.join(chosen, "page_id").select("src", "dst", "pos")
 
 
+@contextmanager
+def _bucketed_edges(edges: DataFrame) -> Iterator[DataFrame]:
+    """The edges as a table bucketed by `src` in the shared work folder.
+
+    Every level joins on `src`; buckets spare a shuffle of all edges per level.
+    """
+    spark = edges.sparkSession
+    name = f"pagemill_edges_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = edges.repartition(buckets, "src").write.bucketBy(buckets, "src").sortBy("src")
+    writer.option("path", work_folder(spark, "edges")).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def crawl(
     pages: DataFrame,
     seeds: Iterable[str] | DataFrame,
@@ -95,36 +118,24 @@ def crawl(
     """
     spark = pages.sparkSession
     start = seeds_frame(spark, seeds)
-    edges = cut_lineage(page_edges(pages, start, mode).repartition("src"))
     ordered = bool(limit)
     path = F.array("seq") if ordered else F.array().cast("array<bigint>")
     level = start.select("url", F.lit(0).alias("depth"), path.alias("path"))
-    if ordered:
-        level = crawl_limit(level, limit)
-    level = cut_lineage(level)
-    count = left = level.count()
+    level = cut_lineage(crawl_limit(level, limit))
+    count = level.count()
     left = limit - count if ordered else None
     visited = level.select("url", "depth")
     depth = 0
-    while count and (left is None or left > 0):
-        depth += 1
-        came = level.select(canonical_url(F.col("url")).alias("src"), "path")
-        step = F.concat("path", F.array(F.col("pos").cast("bigint"))) if ordered else F.col("path")
-        found = came.join(edges, "src").select(F.col("dst").alias("url"), step.alias("path"))
-        # one row per URL before the anti-join: hot targets shrink inside each task
-        fresh = found.groupBy("url").agg(F.min("path").alias("path")).join(
-            visited.select("url"), "url", "left_anti"
-        )
-        level = fresh.select("url", F.lit(depth).alias("depth"), "path")
-        if ordered:
-            level = crawl_limit(level, left)
-        level = cut_lineage(level)
-        count = level.count()
-        if ordered:
-            left -= count
-        visited = visited.unionByName(level.select("url", "depth"))
-        if depth % _COMPACT_EVERY == 0:
-            visited = cut_lineage(visited.coalesce(max(1, spark.sparkContext.defaultParallelism)))
+    with _bucketed_edges(page_edges(pages, start, mode)) as edges:
+        while count and (left is None or left > 0):
+            depth += 1
+            level = cut_lineage(crawl_limit(_next_level(level, edges, visited, depth, ordered), left))
+            count = level.count()
+            if ordered:
+                left -= count
+            visited = visited.unionByName(level.select("url", "depth"))
+            if depth % _COMPACT_EVERY == 0:
+                visited = cut_lineage(visited)
     stored = (
         pages.select(canonical_url(F.col("url")).alias("key"), "page_id")
         .groupBy("key")
@@ -135,6 +146,19 @@ def crawl(
     )
 
 
+def _next_level(
+    level: DataFrame, edges: DataFrame, visited: DataFrame, depth: int, ordered: bool
+) -> DataFrame:
+    """URLs one step beyond `level` that were not visited yet."""
+    came = level.select(canonical_url(F.col("url")).alias("src"), "path")
+    step = F.concat("path", F.array(F.col("pos").cast("bigint"))) if ordered else F.col("path")
+    found = came.join(edges, "src").select(F.col("dst").alias("url"), step.alias("path"))
+    # one row per URL before the anti-join: hot targets shrink inside each task
+    fresh = found.groupBy("url").agg(F.min("path").alias("path"))
+    fresh = fresh.join(visited.select("url"), "url", "left_anti")
+    return fresh.select("url", F.lit(depth).alias("depth"), "path")
+
+
 def crawl_summary(visited: DataFrame) -> DataFrame:
     """Pages processed by depth, and in total where depth is null."""
     return visited.rollup("depth").agg(F.count(F.lit(1)).alias("pages"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -83,21 +83,24 @@ def semantic_filter(
     """Paragraph filter by the enhanced score.
 
     One vectorised step scores all paragraphs of a batch of texts against the
-    templates; the rest is column work inside the row.
+    templates, with the model loaded once per task; the rest is column work
+    inside the row.
     """
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def similarities(paragraphs: pa.Array) -> pa.Array:
-        model = _cached_model(model_factory)
+    def similarities(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = model_factory()
         against = unit_rows(pooled(model, list(templates), max_length))
-        flat = paragraphs.flatten().to_pylist()
-        best = []
-        for start in range(0, len(flat), 256):
-            vectors = unit_rows(pooled(model, flat[start : start + 256], max_length))
-            best.append((vectors @ against.T).max(axis=1))
-        values = np.concatenate(best) if best else np.empty(0)
-        ends = np.cumsum([0] + [len(p) if p is not None else 0 for p in paragraphs.to_pylist()])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.float64()))
+        for paragraphs in batches:
+            lists = [p or [] for p in paragraphs.to_pylist()]
+            flat = [p for ps in lists for p in ps]
+            best = [np.empty(0)]
+            for start in range(0, len(flat), 256):
+                vectors = unit_rows(pooled(model, flat[start : start + 256], max_length))
+                best.append((vectors @ against.T).max(axis=1))
+            ends = np.cumsum([0] + [len(ps) for ps in lists])
+            values = pa.array(np.concatenate(best), pa.float64())
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
     def apply(text: Column) -> Column:
         split = F.filter(F.transform(F.split(text, rf"(?U)\n{WS}*\n"), strip), lambda p: p != "")
@@ -107,13 +110,3 @@ def semantic_filter(
 
     return apply
 
-
-_MODELS: dict[int, object] = {}
-
-
-def _cached_model(factory: Callable):
-    """One model per worker process and factory."""
-    key = hash(factory.__code__) if hasattr(factory, "__code__") else id(factory)
-    if key not in _MODELS:
-        _MODELS[key] = factory()
-    return _MODELS[key]
