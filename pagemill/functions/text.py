@@ -42,7 +42,7 @@ def is_blank(col: Column) -> Column:
 def normalize_whitespace(col: Column) -> Column:
     """Collapse blank lines and runs of spaces, then strip."""
     out = F.regexp_replace(col, rf"(?U)\n{WS}*\n+", "\n\n")
-    out = F.regexp_replace(out, " +", " ")
+    out = F.regexp_replace(out, " {2,}", " ")
     return strip(out)
 
 
@@ -66,7 +66,8 @@ def remove_urls(col: Column) -> Column:
         for pattern in with_urls:
             cut = F.regexp_replace(cut, pattern, "")
         # most texts hold no URL and skip three passes
-        return F.when(text.rlike(r"(?iu)://|www\."), cut).otherwise(text)
+        some = text.contains("://") | F.lower(text).contains("www.")
+        return F.when(some, cut).otherwise(text)
 
     out = let(col, without)
     for pattern, replacement in after:

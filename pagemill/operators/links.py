@@ -54,7 +54,8 @@ def new_links(links: DataFrame, visited: DataFrame, queued: DataFrame | None = N
 def link_stats(links: DataFrame, visited: DataFrame, queued: DataFrame | None = None) -> DataFrame:
     """Per page: same-domain links found, and how many of them were newly queued.
 
-    A URL that several pages mention is credited to the first one.
+    A URL that several pages mention is credited to the first one.  `links`
+    is read twice: pass a written table, not a plan that parses pages.
     """
     inside = same_domain(links)
     found = inside.groupBy("page_id").agg(F.count(F.lit(1)).alias("links_found"))

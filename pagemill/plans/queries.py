@@ -27,7 +27,7 @@ from ..operators.page_text import drop_empty, extract_page_text
 from ..operators.parse import parse_feed, parse_html
 from ..operators.quality import filter_paragraphs, filter_report, quality_score_enhanced, semantic_quality
 from ..options import ExtractOptions
-from ..session import broadcast_if_small, work_folder
+from ..session import broadcast_if_small, cut_lineage, work_folder
 from ..sources.pages import admit, read_pages, spread
 from ..sources.sinks import write_texts
 from ..streaming.incremental import stream_extract
@@ -221,6 +221,11 @@ def _links(spark, sf):
     return L.extract_links(parse_html(pages(spark, sf, rewrites.MORE_LINKS)))
 
 
+def _written_links(spark, sf):
+    """Links as a written table: queries that read them twice parse once."""
+    return cut_lineage(_links(spark, sf))
+
+
 def l1_extract_links(spark, sf):
     place = F.row_number().over(N.page_window().orderBy("pos")).cast("long")
     return _links(spark, sf).select("page_id", place.alias("n"), "href", "link_url")
@@ -235,12 +240,12 @@ def _known(links: DataFrame, rest: int) -> DataFrame:
 
 
 def l3_new_links(spark, sf):
-    links = L.same_domain(_links(spark, sf))
+    links = L.same_domain(_written_links(spark, sf))
     return L.new_links(links, _known(links, 0), _known(links, 1)).select("page_id", "link_url")
 
 
 def l4_link_stats(spark, sf):
-    links = _links(spark, sf)
+    links = _written_links(spark, sf)
     return L.link_stats(links, _known(links, 0))
 
 

@@ -97,8 +97,16 @@ def test_embed_with_model_and_without(spark):
     for i, text in enumerate(r.text for r in df.orderBy("i").collect()):
         words = text.split()
         assert got[i] == pytest.approx([sum(map(len, words)) / len(words), 1.0])
-    hashed = embed_documents(df, dimensions=32).first()
-    assert len(hashed.embedding) == 32 and np.linalg.norm(hashed.embedding) == pytest.approx(1.0)
+    from collections import Counter
+
+    from pyspark.ml.feature import HashingTF
+
+    place = HashingTF(numFeatures=32)
+    for row in embed_documents(df, dimensions=32).collect():
+        counts = np.zeros(32)
+        for word, n in Counter(row.text.lower().split()).items():
+            counts[place.indexOf(word)] += n
+        assert row.embedding == pytest.approx(list(counts / np.linalg.norm(counts)))
 
 
 @pytest.mark.parametrize("threshold, k", [(0.2, None), (0.35, 3), (None, 4), (-0.1, None)])
