@@ -111,14 +111,15 @@ def vocabulary_richness(text: Column) -> Column:
 
 def information_density(text: Column) -> Column:
     """Numbers 0.3, over two proper nouns 0.3, over 10% long words 0.2, statistics 0.2."""
-    number = text.rlike(rf"{_BEGIN}\p{{Nd}}+{_END}")
+    # patterns start with the rarest character they need and look back from there
+    number = text.rlike(rf"\p{{Nd}}(?<!{_WORD}\p{{Nd}})\p{{Nd}}*+{_END}")
     # a capitalised word of two or more characters that follows another word
-    # of the same sentence; look-ahead lets neighbours overlap
-    proper = _count(
-        text, rf"(?U)[^\s\x1c-\x1f.!?]{WS}++(?=\p{{IsUppercase}}[^\s\x1c-\x1f.!?])"
-    )
+    # of the same sentence; look-around lets neighbours overlap
+    inner = r"[^\s\x1c-\x1f.!?]"
+    proper = _count(text, rf"(?U){WS}(?<={inner}{WS}){WS}*+(?=\p{{IsUppercase}}{inner})")
     words = F.split(strip(text), rf"(?U){WS}+")
-    statistics = text.rlike(rf"(?iU){_BEGIN}(?:{'|'.join(STATISTICS_TERMS)}){_END}")
+    first = "".join(sorted({t[0] for t in STATISTICS_TERMS}))
+    statistics = text.rlike(rf"(?iU)(?=[{first}]){_BEGIN}(?:{'|'.join(STATISTICS_TERMS)}){_END}")
 
     def points(condition: Column, value: float) -> Column:
         return F.when(condition, value).otherwise(0.0)
@@ -154,20 +155,18 @@ def noise_penalty(text: Column) -> Column:
     """One minus the share of non-blank lines that look like navigation.
 
     Lines are matched in place: multiline anchors with `\\n` as the only line
-    end, and whitespace classes that cannot leave the line.
+    end, and whitespace classes that cannot leave the line.  The two patterns
+    that may match anywhere in a line are found by skipping, without ever
+    going back, to its next pipe or slash.
     """
     inline = r"[\s\x1c-\x1f&&[^\n]]"
-    anchored, anywhere = [], []
-    for pattern in NOISE_PATTERNS:
-        p = _portable(pattern).replace(WS, inline)
-        if p.startswith("^"):
-            p = p[1:]
-            anchored.append(p[:-1] + rf"{inline}*$" if p.endswith("$") else p)
-        else:
-            anywhere.append(p)
-    noisy = (
-        rf"(?idmU)^(?:{inline}*(?:{'|'.join(anchored)})|[^\n]*?(?:{'|'.join(anywhere)}))[^\n]*"
-    )
+    anchored = []
+    for pattern in NOISE_PATTERNS[:3]:
+        p = _portable(pattern).replace(WS, inline).removeprefix("^")
+        anchored.append(p[:-1] + rf"{inline}*$" if p.endswith("$") else p)
+    path = NOISE_PATTERNS[3]
+    anywhere = rf"[^\n|/]*+(?:(?!{path})/[^\n|/]*+)*+[|/]"
+    noisy = rf"(?idmU)^(?:{inline}*+(?:{'|'.join(anchored)})|{anywhere})[^\n]*"
     filled = rf"(?U){NON_WS}[^\n]*"
     ratio = _count(text, noisy) / F.greatest(F.lit(1), _count(text, filled))
     return F.lit(1.0) - F.least(F.lit(1.0), ratio)

@@ -151,10 +151,13 @@ def _next_level(
 ) -> DataFrame:
     """URLs one step beyond `level` that were not visited yet."""
     came = level.select(canonical_url(F.col("url")).alias("src"), "path")
-    step = F.concat("path", F.array(F.col("pos").cast("bigint"))) if ordered else F.col("path")
-    found = came.join(edges, "src").select(F.col("dst").alias("url"), step.alias("path"))
+    found = came.join(edges, "src").withColumnRenamed("dst", "url")
     # one row per URL before the anti-join: hot targets shrink inside each task
-    fresh = found.groupBy("url").agg(F.min("path").alias("path"))
+    if ordered:
+        step = F.concat("path", F.array(F.col("pos").cast("bigint")))
+        fresh = found.groupBy("url").agg(F.min(step).alias("path"))
+    else:
+        fresh = found.select("url").distinct().withColumn("path", F.array().cast("array<bigint>"))
     fresh = fresh.join(visited.select("url"), "url", "left_anti")
     return fresh.select("url", F.lit(depth).alias("depth"), "path")
 
