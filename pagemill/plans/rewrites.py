@@ -6,6 +6,7 @@ pages, URLs in text) to every row, as functions of the row itself.
 
 ID = "CAST(page_id AS VARCHAR(20))"
 H1 = "regexp_extract(html, '<h1>(.*?)</h1>', 1)"
+ARTICLE = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
 
 
 def _in_article(markup: str) -> str:
@@ -40,16 +41,15 @@ WITH_LINKS = _in_article(
 )
 
 # only blocks count in structured text; a paragraph in an item shows twice
-WITH_BLOCKS = (
-    f"concat('<body><main><h2> Part ', {ID}, ' </h2>loose<ul><li>item <p>in <b>side</b></p></li></ul>"
-    f"<p>', {H1}, '</p></main></body>')"
+WITH_BLOCKS = _in_article(
+    f"'<h2> Part ', {ID}, ' </h2>loose<ul><li>item <p>in <b>side</b></p></li></ul>'"
 )
 
 AS_FEED = (
     "concat('<?xml version=\"1.0\"?><rss version=\"2.0\"><channel><title>Feed</title>', "
     f"CASE WHEN page_id % 3 = 0 THEN concat('<description>Nothing in ', {ID}, '</description>') ELSE "
     f"concat('<item><title>', {H1}, '</title><link>http://feed.example.com/1</link>"
-    f"<description><![CDATA[<p>', {H1}, '</p> <p>more ', {ID}, '</p>]]></description></item>"
+    f"<description><![CDATA[<p>', {ARTICLE}, '</p> <p>more ', {ID}, '</p>]]></description></item>"
     f"<item><description>plain ', {ID}, '</description><title>Second</title>"
     "<content:encoded><![CDATA[x <b>y</b>]]></content:encoded></item>') END, '</channel></rss>')"
 )
