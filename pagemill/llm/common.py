@@ -43,9 +43,9 @@ def row_key(*columns: Column | str) -> Column:
     return F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) if isinstance(c, str) else c for c in columns])
 
 
-def packed(df: DataFrame, **columns: Column) -> DataFrame:
-    """All of `df`'s columns as one struct `_row`, so that working columns cannot clash with them."""
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+def packed(df: DataFrame, keep: list[str] | None = None, **columns: Column) -> DataFrame:
+    """`df`'s columns (or those to `keep`) as one struct `_row`, so that working columns cannot clash with them."""
+    row = F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("_row")
     return df.select(row, *[c.alias(n) for n, c in columns.items()])
 
 

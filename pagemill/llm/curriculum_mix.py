@@ -77,10 +77,12 @@ def demand_position(part: Column, start: Column, end: Column) -> Column:
     return y / (start + F.sqrt(start * start + (end - start) * y))
 
 
-def taken_words(documents: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, cap: int = CAP) -> DataFrame:
-    """(_row, size, source_size, target, taken) and the working columns of `mix`; `_row` is the document."""
+def taken_words(
+    documents: DataFrame, keep: list[str] | None = None, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, cap: int = CAP
+) -> DataFrame:
+    """(_row, size, source_size, target, taken) and the working columns of `mix`; `_row` is the document or its columns to `keep`."""
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")))
-    base = packed(documents, _source=F.col("source"), size=words(F.col("text")), _hash=order)
+    base = packed(documents, keep, _source=F.col("source"), size=words(F.col("text")), _hash=order)
     narrow = materialise(base.select("_source", "size", F.substring("_hash", 1, 8).alias("_hash")), "mix-sizes")
     sums = narrow.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     sources = materialise(targets(sums, weights, share_percent, cap), "mix-sources")
@@ -127,8 +129,8 @@ def _position(copy: Column, schedules) -> Column:
 
 
 def mix_report(documents: DataFrame, schedules=SCHEDULES) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, first_position), ordered by position."""
-    rows = taken_words(documents)
+    """(doc_id, size, source_size, target, taken, first_position), ordered by position; no text is shuffled."""
+    rows = taken_words(documents, ["doc_id"])
     position = F.when(F.col("taken") > 0, _position(F.lit(0), schedules))
     found = rows.select(F.col("_row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", position.alias("first_position"))
     return found.orderBy("first_position", "doc_id")
