@@ -32,10 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import work_folder
-from .common import map_rows
+from .common import map_rows, materialise
 
 LEXICON_WORDS = 200_000
 #: Longer words are not put into the lexicon.
@@ -279,6 +280,14 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return words.where(short).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """Words of `counts(word, n)` with the largest counts, at most `size`; equal counts go in together or not at all."""
+    steps = counts.groupBy("n").agg(F.count("*").alias("words"))
+    filled = F.sum("words").over(W.orderBy(F.desc("n")))
+    least = steps.withColumn("filled", filled).where(F.col("filled") <= size).agg(F.min("n")).first()[0]
+    return counts.where(F.col("n") >= least).select("word") if least is not None else counts.limit(0).select("word")
+
+
 def _publish(spark: SparkSession, flat: np.ndarray) -> str:
     """Writes the array to the shared work folder and hands it to every executor; returns its file name."""
     out = io.BytesIO()
@@ -299,7 +308,7 @@ def fit_lexicon(documents: DataFrame, tokenizer: str | None = None, lexicon_word
     path = tokenizer or default_tokenizer()
     spark.sparkContext.addFile(path)
     file = os.path.basename(path)
-    top = word_counts(documents).orderBy(F.desc("n"), "word").limit(lexicon_words).select("word").collect()
+    top = most_frequent(materialise(word_counts(documents), "word-counts"), lexicon_words).collect()
     words = vocabulary(path)
     return file, _publish(spark, compile_lexicon({r.word: words.merge(r.word) for r in top}))
 
