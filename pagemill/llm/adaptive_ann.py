@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise
+from .common import hashed_sample, map_rows, materialise
 from .vectors import matrices
 
 K = 20
@@ -136,7 +136,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAMPL
     lists = max(1, min(int(round(usual.rows**0.5)), sample // 16))
     probes = min(lists, max(LEAST_PROBES, int(np.ceil(lists * probe_share))))
 
-    picked = usable.orderBy(F.xxhash64(F.lit("ann"), "vec_id"), "vec_id").limit(sample).select("vec_id", "embedding").toArrow()
+    picked = hashed_sample(usable, 2 * sample, "ann", "vec_id").orderBy(F.xxhash64(F.lit("ann"), "vec_id"), "vec_id").limit(sample).select("vec_id", "embedding").toArrow()
     ids, values = matrices(picked["vec_id"].combine_chunks(), picked["embedding"].combine_chunks())[0]
     shared = spark.sparkContext.broadcast(Index(ids, values, float(usual.top), lists))
 

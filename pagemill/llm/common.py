@@ -49,6 +49,17 @@ def packed(df: DataFrame, keep: list[str] | None = None, **columns: Column) -> D
     return df.select(row, *[c.alias(n) for n, c in columns.items()])
 
 
+def hashed_sample(df: DataFrame, size: int, seed: str, *columns: str) -> DataFrame:
+    """Rows whose hash of `columns` lies in the part of the hash range that holds about `size` rows.
+
+    The same rows each time, chosen in a map; everything when the table is no larger.
+    """
+    rows = df.count()
+    if rows <= size:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) < int((1 << 40) * size / rows))
+
+
 def _bounds(edges: DataFrame) -> DataFrame:
     """Both directions of every edge with the least label around the source."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

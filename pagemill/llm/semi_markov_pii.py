@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import hashed_sample, map_rows
 from .spans import Span, add_apart, digest, joined
 
 KINDS = ("email", "ip", "card", "phone")
 TYPES = ("other", *KINDS)
 #: Longest segment of personal data, in tokens.
 MAX_TOKENS = 24
-#: Documents, and regions, that training reads at most.
+#: Documents, and regions, that training reads, about and at most.
 SAMPLE_DOCUMENTS = 10_000
 SAMPLE_REGIONS = 300
 POSTERIOR = 0.9
@@ -274,12 +274,6 @@ class SemiMarkov:
         return [(span, float(posterior[at][KINDS.index(span[0])])) for at, span in reversed(found)]
 
 
-def _sample(documents: DataFrame, size: int) -> DataFrame:
-    order = F.xxhash64(F.lit("pii"), "doc_id", "text")
-    last = documents.select(order.alias("h")).orderBy("h").limit(size).agg(F.max("h")).first()[0]
-    return documents.where(order <= F.lit(last)) if last is not None else documents.limit(0)
-
-
 def labelled_regions(documents: DataFrame) -> DataFrame:
     """(text, found, hash): each region with its rule spans as kind:start:end."""
 
@@ -304,7 +298,7 @@ def labelled_regions(documents: DataFrame) -> DataFrame:
 
 def fit(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS, most: int = SAMPLE_REGIONS) -> SemiMarkov | None:
     """The field, trained on at most `most` labelled regions; None if there is none with personal data."""
-    rows = labelled_regions(_sample(documents, sample)).distinct()
+    rows = labelled_regions(hashed_sample(documents, sample, "pii", "doc_id", "text")).distinct()
     data = []
     for row in rows.orderBy(F.col("found") == "", F.xxhash64("text"), "text").limit(most).collect():
         spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in row.found.split(",") if x)]
