@@ -208,7 +208,8 @@ def read_archives(files: DataFrame, folder: str, chunk: int = CHUNK_BYTES, paylo
         if rows:
             yield flush()
 
-    return files.select("path").repartition("path").mapInArrow(run, "record_id string, page_id long, record_type string, refers_to long, chunk_no long, chunk binary, bytes_so_far long, digest_so_far string, last boolean, stated_digest string, stated_bytes long")
+    each = max(1, files.count())  # a task for each archive, however small the table of paths is
+    return files.select("path").repartition(each).mapInArrow(run, "record_id string, page_id long, record_type string, refers_to long, chunk_no long, chunk binary, bytes_so_far long, digest_so_far string, last boolean, stated_digest string, stated_bytes long")
 
 
 _CHUNKS = pa.schema(
