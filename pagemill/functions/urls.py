@@ -15,8 +15,13 @@ _URL = (
 _FIELDS = ("scheme", "netloc", "path", "params", "query", "fragment")
 
 
+def _clean(col: Column) -> Column:
+    """Without control characters and blanks in front, and without tabs and line breaks anywhere."""
+    return F.regexp_replace(col, r"^[\x00-\x20]+|[\t\r\n]", "")
+
+
 def _part(col: Column, name: str) -> Column:
-    part = F.regexp_extract(col, _URL, _FIELDS.index(name) + 1)
+    part = F.regexp_extract(_clean(col), _URL, _FIELDS.index(name) + 1)
     return F.lower(part) if name == "scheme" else part
 
 

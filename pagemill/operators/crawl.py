@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import canonical_url, netloc, request_path, root_url
-from ..session import cut_lineage, is_small, work_folder
+from ..session import cut_lineage, work_folder
 from .links import extract_links, same_domain
 from .parse import parse_html
 
@@ -68,13 +68,9 @@ def page_edges(pages: DataFrame, seeds: DataFrame, mode: str = "reference") -> D
     Same-domain links never leave a host, so only pages of seed hosts are
     parsed.  When several stored pages share a URL the one with the least
     page_id counts; that choice is made on narrow rows, never on markup.
-    With too many hosts to broadcast every page is parsed: the walk cannot
-    leave its hosts anyway, and markup is never shuffled.
     """
     hosts = seeds.select(netloc(F.col("url")).alias("host")).distinct()
-    inside = pages
-    if is_small(hosts):
-        inside = pages.join(F.broadcast(hosts), netloc(pages["url"]) == hosts["host"], "left_semi")
+    inside = pages.join(hosts, netloc(pages["url"]) == hosts["host"], "left_semi")
     src = canonical_url(F.col("url")).alias("src")
     chosen = inside.select(src, "page_id").groupBy("src").agg(F.min("page_id").alias("page_id"))
     links = same_domain(extract_links(parse_html(inside), mode))

@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import BROADCAST_MAX_ROWS
+from ..functions.vectors import cosine_similarity
 
-# Sizes of the two sides of one similarity block beyond the broadcast bound.
-_LEFT_ROWS = 4096
-_RIGHT_ROWS = 2048
-_PIVOTS = 64
-# Slack, in radians, so that rounding never drops a pair.
-_SLACK = 1e-6
+# Bytes of a matrix that may be sent to every task.
+TEMPLATE_BYTES = 8 << 20
 
 
 # --- documents to vectors -----------------------------------------------
@@ -33,6 +28,26 @@ def pooled(model: Callable, texts: list[str], max_length: int | None) -> np.ndar
     return (tokens * mask[:, :, None]).sum(axis=1) / np.clip(used, 1e-9, None)
 
 
+def hashed_words(text: Column, dimensions: int) -> Column:
+    """Unit vector of word counts; a word's place is the first 32 bits of its MD5, modulo the dimensions."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dimensions)
+
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        """`body` of a value that is computed once."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def count(found: Column) -> Column:
+        zeros = F.array_repeat(F.lit(0), dimensions)
+        return F.transform(zeros, lambda _, i: F.size(F.filter(found, lambda p: p == i)).cast("double"))
+
+    def scale(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+        return let(norm, lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+
+    return let(places, lambda found: let(count(found), scale))
+
+
 def embed_documents(
     df: DataFrame,
     model_factory: Callable | None = None,
@@ -47,14 +62,7 @@ def embed_documents(
     of words over the whole text is used, on the JVM.
     """
     if model_factory is None:
-        from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-        from pyspark.ml.functions import vector_to_array
-
-        words = RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[\p{L}\p{N}_]+", gaps=False)
-        counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimensions)
-        unit = Normalizer(inputCol="_counts", outputCol="_unit")
-        out = unit.transform(counts.transform(words.transform(df)))
-        return out.withColumn("embedding", vector_to_array("_unit")).drop("_words", "_counts", "_unit")
+        return df.withColumn("embedding", hashed_words(F.col("text"), dimensions))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -81,12 +89,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def collect_vectors(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> np.ndarray | None:
-    """The `embedding` rows as a matrix, or None when there are too many to send to every task."""
-    rows = df.select("embedding").filter("embedding is not null").limit(max_rows + 1).toPandas()["embedding"]
-    if len(rows) > max_rows:
-        return None
-    return np.array([np.asarray(r, dtype=np.float64) for r in rows])
+def template_matrix(templates: DataFrame) -> np.ndarray:
+    """The templates' `embedding` rows; they go to every task, so they must fit TEMPLATE_BYTES."""
+    rows = templates.select("embedding").filter("embedding is not null")
+    size = rows.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0] * 8
+    if size > TEMPLATE_BYTES:
+        raise ValueError(f"templates take {size} bytes, more than the {TEMPLATE_BYTES} that every task may get")
+    return np.array([np.asarray(r.embedding, dtype=np.float64) for r in rows.collect()])
 
 
 def best_similarity(vectors: np.ndarray):
@@ -105,153 +114,11 @@ def best_similarity(vectors: np.ndarray):
     return best
 
 
-_PAIRS = T.StructType(
-    [
-        T.StructField("left_id", T.LongType()),
-        T.StructField("right_id", T.LongType()),
-        T.StructField("similarity", T.DoubleType()),
-    ]
-)
-
-
-def _matches(
-    left_ids: np.ndarray, left: np.ndarray, right_ids: np.ndarray, right: np.ndarray, threshold, k
-) -> pd.DataFrame:
-    """Pairs of two unit blocks that pass the threshold, at most `k` per left row."""
-    scores = left @ right.T
-    if k is not None and k < scores.shape[1]:
-        # ties of the k-th value stay in; the final ranking settles them
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        hit = scores >= kth - 1e-12
-    else:
-        hit = np.ones(scores.shape, dtype=bool)
-    if threshold is not None:
-        hit &= scores >= threshold
-    rows, cols = np.nonzero(hit)
-    return pd.DataFrame(
-        {"left_id": left_ids[rows], "right_id": right_ids[cols], "similarity": scores[rows, cols]}
-    )
-
-
-def _top_k(pairs: DataFrame, k: int | None) -> DataFrame:
-    if k is None:
-        return pairs
-    order = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
-
-
-def similar_pairs(
-    df: DataFrame,
-    other: DataFrame,
-    threshold: float | None = 0.9,
-    k: int | None = None,
-    max_rows: int = BROADCAST_MAX_ROWS,
-) -> DataFrame:
-    """pairs(left_id, right_id, similarity) of (vec_id, embedding) tables, exact.
+def similar_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Adds `similarity` to given pairs(left_id, right_id) of vectors(vec_id, embedding).
 
-    Only pairs at or above `threshold` leave a task, and at most `k` per left
-    row.  A small `other` goes to every task as one matrix.  Beyond `max_rows`
-    both sides are cut into cells around pivots and into blocks of bounded
-    size; a cell that cannot hold a match is skipped by the triangle
-    inequality of angles, so no pair is lost.
+    Two equi-joins and one cosine for each pair; null where a vector is missing.
     """
-    df = df.select(F.col("vec_id").cast("long"), "embedding").filter("embedding is not null")
-    other = other.select(F.col("vec_id").cast("long"), "embedding").filter("embedding is not null")
-    small = other.limit(max_rows + 1).toPandas()
-    if len(small) <= max_rows:
-        return _top_k(_against_matrix(df, small, threshold, k), k)
-    return _top_k(_against_cells(df, other, threshold, k), k)
-
-
-def _against_matrix(df: DataFrame, small: pd.DataFrame, threshold, k) -> DataFrame:
-    ids = small["vec_id"].to_numpy(dtype=np.int64)
-    right = unit_rows(np.array([np.asarray(v, dtype=np.float64) for v in small["embedding"]]).reshape(len(ids), -1))
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, _LEFT_ROWS):
-                part = batch.slice(start, _LEFT_ROWS)
-                if len(ids):
-                    left = unit_rows(_matrix(part.column(1)))
-                    pairs = _matches(part.column(0).to_numpy(), left, ids, right, threshold, k)
-                    yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
-
-    return df.mapInArrow(match, _PAIRS)
-
-
-def _against_cells(df: DataFrame, other: DataFrame, threshold, k) -> DataFrame:
-    pivots = collect_vectors(other.orderBy(F.xxhash64("vec_id"), "vec_id").limit(_PIVOTS))
-    centers = unit_rows(pivots)
-    nearest_type = T.StructType(
-        [T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]
-    )
-
-    def angles(embeddings: pa.Array) -> np.ndarray:
-        return np.arccos(np.clip(unit_rows(_matrix(embeddings)) @ centers.T, -1.0, 1.0))
-
-    @F.arrow_udf(nearest_type)
-    def nearest(embeddings: pa.Array) -> pa.Array:
-        to = angles(embeddings)
-        cell = to.argmin(axis=1)
-        return pa.StructArray.from_arrays(
-            [pa.array(cell, pa.int32()), pa.array(to[np.arange(len(cell)), cell], pa.float64())],
-            names=["cell", "angle"],
-        )
-
-    placed = other.withColumn("n", nearest("embedding")).select("vec_id", "embedding", "n.cell", "n.angle")
-    # one row per pivot: bounded
-    cells = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("size")).collect()
-    radius = np.full(len(centers), -np.inf)
-    blocks = np.zeros(len(centers), dtype=np.int64)
-    for c in cells:
-        radius[c["cell"]] = c["radius"]
-        blocks[c["cell"]] = math.ceil(c["size"] / _RIGHT_ROWS)
-    reach = math.pi if threshold is None else math.acos(max(-1.0, min(1.0, threshold)))
-    # a zero vector has cosine 0 with everything and no angle: it visits every cell
-    zero_matches = threshold is None or threshold <= 0
-
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def visits(embeddings: pa.Array) -> pa.Array:
-        near = (angles(embeddings) - radius <= reach + _SLACK) & (blocks > 0)
-        if zero_matches:
-            near[:] = blocks > 0
-        lists = [np.flatnonzero(row) for row in near]
-        ends = np.cumsum([0] + [len(x) for x in lists])
-        values = np.concatenate(lists) if lists else np.empty(0)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-
-    visiting = df.select("vec_id", "embedding", F.explode(visits("embedding")).alias("cell"))
-    guests = visiting.groupBy("cell").count().collect()
-    chunks = np.ones(len(centers), dtype=np.int64)
-    for g in guests:
-        chunks[g["cell"]] = math.ceil(g["count"] / _LEFT_ROWS)
-    n_blocks = F.array(*[F.lit(int(b)) for b in blocks])[F.col("cell")]
-    n_chunks = F.array(*[F.lit(int(c)) for c in chunks])[F.col("cell")]
-    salt = F.xxhash64("vec_id")
-
-    def each(n):
-        return F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
-
-    left = visiting.select(
-        "cell", F.pmod(salt, n_chunks).cast("int").alias("chunk"), each(n_blocks).alias("block"), "vec_id", "embedding"
-    )
-    right = placed.select(
-        "cell", each(n_chunks).alias("chunk"), F.pmod(salt, n_blocks).cast("int").alias("block"), "vec_id", "embedding"
-    )
-
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"left_id": [], "right_id": [], "similarity": []}).astype(
-                {"left_id": "int64", "right_id": "int64", "similarity": "float64"}
-            )
-        return _matches(
-            a["vec_id"].to_numpy(),
-            unit_rows(np.stack(a["embedding"].to_numpy()).astype(np.float64)),
-            b["vec_id"].to_numpy(),
-            unit_rows(np.stack(b["embedding"].to_numpy()).astype(np.float64)),
-            threshold,
-            k,
-        )
-
-    keys = ("cell", "chunk", "block")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match, _PAIRS)
+    of = lambda side: vectors.select(F.col("vec_id").alias(f"{side}_id"), F.col("embedding").alias(f"_{side}"))
+    both = pairs.join(of("left"), "left_id", "left").join(of("right"), "right_id", "left")
+    return both.withColumn("similarity", cosine_similarity(F.col("_left"), F.col("_right"))).drop("_left", "_right")

@@ -143,8 +143,9 @@ class _Nodes(HTMLParser):
         self.buffer.append(html5.get(name + ";") or "&" + name)
 
     def handle_charref(self, name: str) -> None:
-        code = int(name[1:], 16) if name[0] in "xX" else int(name)
-        if code < 256:
+        digits = name[1:] if name[0] in "xX" else name
+        code = int(digits, 16 if digits is not name else 10) if len(digits.lstrip("0")) <= 8 else -1  # beyond any character
+        if 0 <= code < 256:
             try:
                 self.buffer.append(bytes([code]).decode("windows-1252"))
                 return

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import quality as Q
 from ..functions.text import WS, strip
-from .embed import best_similarity, collect_vectors, pooled, similar_pairs, unit_rows
+from .embed import best_similarity, pooled, template_matrix, unit_rows
 
 # Sentences that stand for research prose.
 QUALITY_TEMPLATES = [
@@ -42,13 +42,9 @@ def semantic_quality(df: DataFrame, templates: DataFrame | None = None) -> DataF
 
     0.5 where there is no embedding, or no templates at all.
     """
-    vectors = None if templates is None else collect_vectors(templates)
-    if templates is None or (vectors is not None and not len(vectors)):
+    vectors = np.empty((0, 0)) if templates is None else template_matrix(templates)
+    if not len(vectors):
         return df.withColumn("semantic_quality", F.lit(NEUTRAL_SIMILARITY))
-    if vectors is None:  # more templates than may be sent to every task
-        best = similar_pairs(df, templates, threshold=None, k=1)
-        best = best.select(F.col("left_id").alias("vec_id"), F.col("similarity").alias("semantic_quality"))
-        return df.join(best, "vec_id", "left").fillna(NEUTRAL_SIMILARITY, ["semantic_quality"])
     best = best_similarity(vectors)(F.col("embedding"))
     return df.withColumn("semantic_quality", F.coalesce(best, F.lit(NEUTRAL_SIMILARITY)))
 

@@ -27,8 +27,8 @@ from ..operators.page_text import drop_empty, extract_page_text
 from ..operators.parse import parse_feed, parse_html
 from ..operators.quality import filter_paragraphs, filter_report, quality_score_enhanced, semantic_quality
 from ..options import ExtractOptions
-from ..session import broadcast_if_small, cut_lineage, work_folder
-from ..sources.pages import admit, read_pages, spread
+from ..session import cut_lineage, work_folder
+from ..sources.pages import admit, read_pages
 from ..sources.sinks import write_texts
 from ..streaming.incremental import stream_extract
 from . import extract, rewrites
@@ -46,7 +46,7 @@ def pages(spark: SparkSession, sf: str, html: str | None = None, url: str | None
 
 
 def documents(spark: SparkSession, sf: str, text: str | None = None) -> DataFrame:
-    df = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     return df.withColumn("text", F.expr(text)) if text else df
 
 
@@ -168,7 +168,9 @@ def f11_remove_urls(spark, sf):
 
 
 def f12_drop_empty(spark, sf):
-    df = documents(spark, sf, rewrites.SOME_EMPTY)
+    given = documents(spark, sf)
+    blank = given.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit(" \n  ").alias("text"))
+    df = given.union(blank)
     return drop_empty(df.withColumn("text", normalize_whitespace(F.col("text")))).select("doc_id")
 
 
@@ -363,7 +365,7 @@ def e1_mean_pool(spark, sf):
 
 
 def e2_cosine_similarity(spark, sf):
-    means = broadcast_if_small(centroids(spark, sf).withColumnRenamed("embedding", "mean"))
+    means = centroids(spark, sf).withColumnRenamed("embedding", "mean")
     both = embeddings(spark, sf).join(means, "label")
     return both.select("vec_id", rounded(cosine_similarity(F.col("embedding"), F.col("mean"))).alias("similarity"))
 
@@ -376,7 +378,8 @@ def e3_embed_documents(spark, sf):
 
 def e4_similar_pairs(spark, sf):
     vectors = embeddings(spark, sf)
-    pairs = similar_pairs(vectors, vectors, threshold=0.3, k=5)
+    partners = F.explode(F.array(F.col("vec_id") + 1, F.col("vec_id") * 2, F.col("vec_id")))
+    pairs = similar_pairs(vectors.select(F.col("vec_id").alias("left_id"), partners.alias("right_id")), vectors)
     return pairs.select("left_id", "right_id", rounded(F.col("similarity")).alias("similarity"))
 
 

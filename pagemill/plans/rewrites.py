@@ -63,8 +63,6 @@ WITH_URLS = (
     "' (see https://b.example.com/x?y=1#z) and [www.c.org] or ftp://d.example.net/e  ( )')"
 )
 
-SOME_EMPTY = "CASE WHEN doc_id % 3 = 0 THEN concat(' ', chr(10), '  ') ELSE text END"
-
 # role, class, link, URL and excluded element in the article of every page
 WITH_ALL = _in_article(
     f"'<div role=\"banner\">gone</div><p class=\"social-x\">gone</p><p>See <a href=\"/n\">note ', {ID}, "
@@ -73,8 +71,8 @@ WITH_ALL = _in_article(
 
 URL_VARIANTS = (
     "CASE page_id % 4 WHEN 0 THEN url "
-    f"WHEN 1 THEN concat('HTTP://User@Host:8080/a;b/c', {ID}, ';p=1?q=1&r=/2#f?g') "
-    f"WHEN 2 THEN concat('https://h', {ID}, '.example.com?only=query') ELSE concat(url, '#') END"
+    f"WHEN 1 THEN concat('HTTP://User@Host:8080/a;b/c', {ID}, ';p=1?q=1&r=/2#f?g', url) "
+    f"WHEN 2 THEN concat('https://h', {ID}, '.example.com?only=', url) ELSE concat(url, '#') END"
 )
 
 HREFS = f"array('/x', concat('c', {ID}, '.html'), '//host/x', 'http://h.example.org/y', 'HTTP://h/x', 'tel:1')"
@@ -118,7 +116,7 @@ WITH_FACTS = (
 WITH_RESEARCH = (
     "CASE doc_id % 5 WHEN 0 THEN concat('Researchers found that ', text) "
     "WHEN 1 THEN concat(text, ' According to  the study, data shows evidence suggests it was published in 1999.') "
-    "WHEN 2 THEN substr(text, 1, 40) ELSE text END"
+    "WHEN 2 THEN concat(text, ' 40') ELSE text END"
 )
 
 WITH_NOISE = (

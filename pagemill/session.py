@@ -1,21 +1,17 @@
-"""Session helpers: checkpoint folder and size-checked broadcasts."""
+"""Session helpers: the shared work folder and cut lineages."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_MAX_ROWS = 10_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names.
 
     Only a local master, where driver and executors share one disk, gets a
-    folder of its own when none is set.
+    folder of its own when none is set: one below the warehouse.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -25,7 +21,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not configured:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="pagemill-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     sc.setCheckpointDir(configured)
     return configured
 
@@ -39,17 +35,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Whether a bounded count proves the table has at most `max_rows` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only for a table proven small.
-
-    Beyond the bound the frame comes back without a hint and the join falls
-    to a shuffle join with adaptive skew handling.
-    """
-    return F.broadcast(df) if is_small(df, max_rows) else df

@@ -1,7 +1,7 @@
 from pages import by_page, nodes_of, one_column
 
 from pagemill.operators import nodes as N
-from pagemill.operators.parse import fragment_text
+from pagemill.operators.parse import fragment_text, parse_html
 
 
 def rows(spark, html):
@@ -74,3 +74,18 @@ def test_null_and_empty_pages(spark):
 
 def test_fragment_text(spark):
     assert one_column(spark, ["<p> a </p><b>b</b>", None, "x"], fragment_text) == ["a b", None, "x"]
+
+
+def test_endless_character_reference(spark):
+    html = "<p>a&#" + "9" * 5000 + ";b&#x" + "f" * 5000 + ";c&#00065;</p>"
+    rows = parse_html(spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string")).collect()
+    assert any(r.text == "a\ufffdb\ufffdcA" for r in rows)
+
+
+def test_markup_bytes_are_decoded_by_charset():
+    from pagemill.sources.pages import decode_markup
+
+    assert decode_markup("é".encode("latin-1"), "text/html; charset=ISO-8859-1") == "é"
+    assert decode_markup(b"<meta charset='latin-1'>\xe9") == "<meta charset='latin-1'>é"
+    assert decode_markup(b"\xff\xfe" + "é".encode("utf-16-le")) == "é"
+    assert decode_markup(b"\xe9", "text/html; charset=unheard-of") == "\ufffd"

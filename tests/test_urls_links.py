@@ -134,12 +134,9 @@ def test_crawl_seed_with_fragment_and_copies_of_a_page(spark):
     assert total[None] == 7 and total[0] == 1 and total[1] == 2
 
 
-def test_many_hosts_are_not_filtered_by_broadcast(spark, monkeypatch):
-    from pagemill.operators import crawl as C
-
-    monkeypatch.setattr(C, "is_small", lambda df: False)
-    edges = page_edges(site(spark, GRAPH), seeds_frame(spark, ["http://s/0"]))
-    assert edges.filter("src = 'http://s/1'").count() == 3
+def test_urls_lose_breaks_and_leading_controls(spark):
+    row = spark.createDataFrame([("\x01 http://h/a\n\tb?c\r=1",)], "u string").select(canonical_url(F.col("u")).alias("c")).first()
+    assert row.c.startswith("http://h/ab")
 
 
 def test_limit_beyond_top_k_is_ranked(spark, monkeypatch):
