@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .nodes import collect_in_spans, in_order, is_element, page_string, page_window, span_text
-from .parse import fragment_text
+from .nodes import collect_in_spans, is_element, page_string, page_window, span_text
+from .parse import fragment_text, fragment_texts
 
 # Fields of a feed item, in output order.
 FIELDS = ["title", "description", "summary", "content", "content:encoded"]
 
+#: Item number of a document's span on pages with and without items.
+_ITEMS, _NO_ITEMS = -1, -2
+
 
 def _with_items(nodes: DataFrame) -> DataFrame:
     """Item rows of feed pages get spans, one per field they hold.
@@ -34,6 +37,7 @@ def _with_items(nodes: DataFrame) -> DataFrame:
     rows = rows.withColumn(
         "item_tag", F.when(F.max(F.col("tag") == "item").over(page_window()), "item").otherwise("entry")
     )
+    rows = rows.withColumn("has_items", F.max(F.col("tag").isin("item", "entry")).over(page_window()))
     following = [
         F.min(F.when(F.col("tag") == name, F.struct("id", "end"))).over(after).alias(f"f{i}")
         for i, name in enumerate(FIELDS)
@@ -55,12 +59,12 @@ def _with_items(nodes: DataFrame) -> DataFrame:
         )
 
     spans = F.array_compact(F.array(*[span(i) for i in range(len(FIELDS))]))
-    # the document row has one empty span, which carries the URL along
+    # the document row has one empty span, which carries the URL along and whether there are items
     document = F.struct(
         F.lit(-1).cast("long").alias("seq"),
         F.col("id").alias("id"),
         F.col("id").alias("end"),
-        F.lit(-1).alias("item_id"),
+        F.when(F.col("has_items"), _ITEMS).otherwise(_NO_ITEMS).alias("item_id"),
         F.col("url").alias("field"),
     )
     return rows.select(
@@ -71,7 +75,7 @@ def _with_items(nodes: DataFrame) -> DataFrame:
         F.when(F.col("id") == 0, F.array(document))
         .when(F.col("tag") == F.col("item_tag"), spans)
         .alias("spans"),
-    )
+    ).filter("item is not null or size(spans) > 0")
 
 
 def _fields(rows: DataFrame) -> DataFrame:
@@ -97,8 +101,7 @@ def _fields(rows: DataFrame) -> DataFrame:
 
 def feed_items(nodes: DataFrame) -> DataFrame:
     """One row per feed item and field that has text."""
-    rows = _with_items(nodes).filter("item is not null or size(spans) > 0")
-    return _fields(rows).filter("seq >= 0 and text <> ''").drop("seq")
+    return _fields(_with_items(nodes)).filter("seq >= 0 and text <> ''").drop("seq")
 
 
 def extract_feed_text(
@@ -107,27 +110,19 @@ def extract_feed_text(
     """(page_id, url, text) per feed page: item fields joined by blank lines,
     or all text, one line per string, when there are no items.
     """
-    rows = _with_items(nodes)
-    is_item = (F.col("id") > 0) & F.col("spans").isNotNull()
-    rows = rows.select("*", F.max(is_item).over(page_window()).alias("has_items"))
-    # a page without items gathers its strings here, one with items its fields below
-    line = F.when(~F.col("has_items"), F.col("item"))
-    item = F.when(F.col("has_items"), F.col("item"))
-    spans = F.when(F.col("has_items"), F.col("spans"))
-    fields = _fields(rows.select("page_id", "id", item.alias("item"), spans.alias("spans")).filter("item is not null or size(spans) > 0"))
-    pieces = fields.select(
-        "page_id",
-        F.when(F.col("seq") < 0, F.col("field")).alias("url"),
-        "seq",
-        F.when(F.col("seq") >= 0, F.nullif("text", F.lit(""))).alias("text"),
-    )
-    joined = pieces.groupBy("page_id").agg(
-        F.max("url").alias("url"), finish(F.array_join(in_order("text", "seq"), "\n\n")).alias("text")
-    )
-    whole = (
-        rows.filter("not has_items")
-        .select("page_id", "url", "id", line.alias("line"))
-        .groupBy("page_id")
-        .agg(F.max("url").alias("url"), finish(F.array_join(in_order("line"), "\n")).alias("text"))
-    )
-    return joined.unionByName(whole)
+
+    def page(items: Column, found: Column) -> dict[str, Column]:
+        document = found[0]["span"]
+        fields = F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0)))
+        has_items = document["item_id"] == _ITEMS
+        return {
+            "url": document["field"],
+            "raw": F.when(has_items, F.transform(fields, lambda f: span_text(items, f))),
+            "lines": F.when(~has_items, F.array_join(items, "\n")),
+        }
+
+    pages = collect_in_spans(_with_items(nodes), page)
+    marked = F.exists("raw", lambda r: r.contains("<") & r.contains(">"))
+    texts = F.when(marked, fragment_texts(F.when(marked, F.col("raw")))).otherwise(F.col("raw"))
+    joined = F.array_join(F.filter(texts, lambda t: t != ""), "\n\n")
+    return pages.select("page_id", "url", finish(F.coalesce("lines", joined)).alias("text"))

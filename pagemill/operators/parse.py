@@ -329,3 +329,16 @@ def _fragment_text(fragments: pa.Array) -> pa.Array:
 def fragment_text(col: Column) -> Column:
     """Text of a markup fragment, strings joined by one space; null stays null."""
     return _fragment_text(col)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _fragment_texts(pages: pa.Array) -> pa.Array:
+    def text(s: str | None) -> str | None:
+        return _fragment_strings(s) if s and "<" in s and ">" in s else s
+
+    return pa.array([None if p is None else [text(s) for s in p] for p in pages.to_pylist()], pa.list_(pa.string()))
+
+
+def fragment_texts(col: Column) -> Column:
+    """The same for an array; strings without markup stay as they are."""
+    return _fragment_texts(col)
