@@ -10,14 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import canonical_url, netloc, request_path, root_url
-from ..session import cut_lineage, work_folder
+from ..session import cut_lineage, remove_folder, work_folder
 from .links import extract_links, same_domain
 from .parse import parse_html
 
 # Levels between two rewrites of the visited set into one table.
 _COMPACT_EVERY = 8
-# Up to this many rows a sorted limit is a plain top-k.
-_TOP_K = 100_000
 
 
 def seeds_frame(spark: SparkSession, seeds: Iterable[str] | DataFrame) -> DataFrame:
@@ -31,18 +29,15 @@ def seeds_frame(spark: SparkSession, seeds: Iterable[str] | DataFrame) -> DataFr
 
 
 def crawl_limit(frontier: DataFrame, n: int | None, *order: str) -> DataFrame:
-    """The first `n` rows of a frontier in queue order; None and 0 mean all.
+    """The first `n` rows of a frontier in queue order, with their `rank`; None and 0 mean all, unranked.
 
-    A large `n` never passes through one task: rows are range-partitioned by
-    the order, each range is counted, and a row's rank is its range's offset
-    plus its place inside the range.
+    Whatever `n`, no task sees more than its range: rows are range-partitioned
+    by the order, each range is counted, and a row's rank is its range's
+    offset plus its place inside the range.
     """
     if not n:
         return frontier
-    order = order or ("path",)
-    if n <= _TOP_K:
-        return frontier.orderBy(*order).limit(n)
-    return ranked(frontier, *order).filter(F.col("rank") <= n).drop("rank")
+    return ranked(frontier, *order).filter(F.col("rank") <= n)
 
 
 def ranked(df: DataFrame, *order: str) -> DataFrame:
@@ -90,11 +85,13 @@ def _bucketed_edges(edges: DataFrame) -> Iterator[DataFrame]:
     name = f"pagemill_edges_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = edges.repartition(buckets, "src").write.bucketBy(buckets, "src").sortBy("src")
-    writer.option("path", work_folder(spark, "edges")).saveAsTable(name)
+    folder = work_folder(spark, "edges")
+    writer.option("path", folder).saveAsTable(name)
     try:
         yield spark.table(name)
     finally:
-        spark.sql(f"DROP TABLE {name}")
+        spark.sql(f"DROP TABLE {name}")  # leaves the files of a table with a path
+        remove_folder(spark, folder)
 
 
 def crawl(
@@ -109,15 +106,15 @@ def crawl(
     and has a null page_id.  The links of all pages are extracted once, and
     each level joins narrow (src, dst) rows.
 
-    With a limit, a row carries its path of link positions from the seed:
-    paths of one level compare in queue order, so the limit is exact.
+    With a limit, a row carries its rank inside its level. The rank of the
+    page a link stands on and the link's position give queue order in the next
+    level, so the limit is exact and a row has the same width at any depth.
     """
     spark = pages.sparkSession
     start = seeds_frame(spark, seeds)
     ordered = bool(limit)
-    path = F.array("seq") if ordered else F.array().cast("array<bigint>")
-    level = start.select("url", F.lit(0).alias("depth"), path.alias("path"))
-    level = cut_lineage(crawl_limit(level, limit))
+    level = start.select("url", F.lit(0).alias("depth"), *(["seq"] if ordered else []))
+    level = cut_lineage(crawl_limit(level, limit, "seq"))
     count = level.count()
     left = limit - count if ordered else None
     visited = level.select("url", "depth")
@@ -125,7 +122,7 @@ def crawl(
     with _bucketed_edges(page_edges(pages, start, mode)) as edges:
         while count and (left is None or left > 0):
             depth += 1
-            level = cut_lineage(crawl_limit(_next_level(level, edges, visited, depth, ordered), left))
+            level = cut_lineage(crawl_limit(_next_level(level, edges, visited, depth, ordered), left, "parent", "pos"))
             count = level.count()
             if ordered:
                 left -= count
@@ -145,17 +142,17 @@ def crawl(
 def _next_level(
     level: DataFrame, edges: DataFrame, visited: DataFrame, depth: int, ordered: bool
 ) -> DataFrame:
-    """URLs one step beyond `level` that were not visited yet."""
-    came = level.select(canonical_url(F.col("url")).alias("src"), "path")
+    """URLs one step beyond `level` that were not visited yet; ordered ones with the least (parent, pos)."""
+    came = level.select(canonical_url(F.col("url")).alias("src"), *(["rank"] if ordered else []))
     found = came.join(edges, "src").withColumnRenamed("dst", "url")
     # one row per URL before the anti-join: hot targets shrink inside each task
     if ordered:
-        step = F.concat("path", F.array(F.col("pos").cast("bigint")))
-        fresh = found.groupBy("url").agg(F.min(step).alias("path"))
+        step = F.struct(F.col("rank").alias("parent"), "pos")
+        fresh = found.groupBy("url").agg(F.min(step).alias("place")).select("url", "place.*")
     else:
-        fresh = found.select("url").distinct().withColumn("path", F.array().cast("array<bigint>"))
+        fresh = found.select("url").distinct()
     fresh = fresh.join(visited.select("url"), "url", "left_anti")
-    return fresh.select("url", F.lit(depth).alias("depth"), "path")
+    return fresh.withColumn("depth", F.lit(depth))
 
 
 def crawl_summary(visited: DataFrame) -> DataFrame:

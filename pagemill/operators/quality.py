@@ -60,10 +60,16 @@ def enhanced_score(text: Column, semantic: Column) -> Column:
 
 
 def quality_score_enhanced(df: DataFrame) -> DataFrame:
-    """Adds `score` from `text` and, when the column is there, `semantic_quality`."""
-    if "semantic_quality" not in df.columns:
-        return df.withColumn("score", Q.plain_score(F.col("text")))
-    return df.withColumn("score", enhanced_score(F.col("text"), F.col("semantic_quality")))
+    """Adds `score` from `text` and, when the column is there, `semantic_quality`; with the five signals.
+
+    The signals are null for short text, as in `quality_score`.
+    """
+    plain = df.withColumn("_quality", Q.quality_score(F.col("text")))
+    parts = [F.col(f"_quality.{n}").alias(n) for n in Q.WEIGHTS]
+    score, semantic = F.col("_quality.score"), F.col("semantic_quality")
+    if "semantic_quality" in df.columns:
+        score = F.when(semantic.isNull(), score).otherwise(score * F.lit(0.9) + semantic * F.lit(0.1))
+    return plain.select(*df.columns, score.alias("score"), *parts)
 
 
 def heuristic_filter(threshold: float) -> Callable[[Column], Column]:

@@ -18,6 +18,8 @@ class ExtractOptions:
     quality_threshold: float = 0.6
     use_semantic_quality: bool = True
     link_mode: str = "reference"
+    #: URL that media resolve against; None: each page's own.
+    media_base: str | None = None
 
     def effective_media_types(self) -> tuple[str, ...]:
         """Text-only wins over any media types that were also asked for."""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from ..operators.page_text import texts_of_nodes
 from ..operators.parse import parse_html
 from ..operators.quality import heuristic_filter, semantic_filter
 from ..options import ExtractOptions
-from ..session import work_folder
+from ..session import remove_folder, work_folder
 from ..sources.pages import admit, read_pages
 from ..sources.sinks import write_texts
 
@@ -29,16 +30,20 @@ def paragraph_filter(options: ExtractOptions, model_factory: Callable | None):
     return heuristic_filter(options.quality_threshold)
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """Nodes of the pages, written once to the shared work folder.
+@contextmanager
+def parsed(pages: DataFrame) -> Iterator[DataFrame]:
+    """Nodes of the pages, written once to the shared work folder and deleted at the end.
 
     Text, links and media all read them back; a lost executor costs a
     re-read, not another parse.
     """
     spark = pages.sparkSession
     folder = work_folder(spark, "nodes")
-    parse_html(pages).write.parquet(folder)
-    return spark.read.parquet(folder)
+    try:
+        parse_html(pages).write.parquet(folder)
+        yield spark.read.parquet(folder)
+    finally:
+        remove_folder(spark, folder)
 
 
 def run_extract(
@@ -68,17 +73,17 @@ def run_extract(
             reached = stored.join(start, "key", "left_semi").groupBy("key").agg(F.min("page_id").alias("page_id"))
         ids = reached.select("page_id").filter("page_id is not null").distinct()
         pages = pages.join(ids, "page_id", "left_semi")
-    nodes = parsed(pages)
-    texts = texts_of_nodes(nodes, nodes, options, paragraph_filter(options, model_factory))
-    write_texts(texts, f"{out}/texts", mode)
-    names = ["texts"]
-    if options.crawl:
-        extract_links(nodes, options.link_mode).write.mode(mode).parquet(f"{out}/links")
-        names.append("links")
-    types = options.effective_media_types()
-    if types:
-        extract_media(nodes, types).write.mode(mode).parquet(f"{out}/media")
-        media = spark.read.parquet(f"{out}/media")
-        media_manifest(media).write.mode(mode).parquet(f"{out}/manifest")
-        names += ["media", "manifest"]
+    with parsed(pages) as nodes:
+        texts = texts_of_nodes(nodes, nodes, options, paragraph_filter(options, model_factory))
+        write_texts(texts, f"{out}/texts", mode)
+        names = ["texts"]
+        if options.crawl:
+            extract_links(nodes, options.link_mode).write.mode(mode).parquet(f"{out}/links")
+            names.append("links")
+        types = options.effective_media_types()
+        if types:
+            extract_media(nodes, types, options.media_base).write.mode(mode).parquet(f"{out}/media")
+            media = spark.read.parquet(f"{out}/media")
+            media_manifest(media).write.mode(mode).parquet(f"{out}/manifest")
+            names += ["media", "manifest"]
     return {n: spark.read.parquet(f"{out}/{n}") for n in names}

@@ -349,7 +349,8 @@ def q11_quality_score_enhanced(spark, sf):
     texts = documents(spark, sf, rewrites.WITH_RESEARCH)
     vectors = semantic_quality(embeddings(spark, sf), centroids(spark, sf))
     both = texts.join(vectors.select(F.col("vec_id").alias("doc_id"), "semantic_quality"), "doc_id", "left")
-    return quality_score_enhanced(both).select("doc_id", rounded(F.col("score")).alias("score"))
+    parts = ["score", "semantic_quality", *Q.WEIGHTS]
+    return quality_score_enhanced(both).select("doc_id", *[rounded(F.col(c)).alias(c) for c in parts])
 
 
 # --- embeddings ---------------------------------------------------------

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.urls import canonical_url
 from ..operators.page_text import extract_page_text
 from ..options import ExtractOptions
 from ..plans.extract import paragraph_filter
 from ..schemas import PAGES
+from ..session import remove_folder
 from ..sources.pages import admit
 from ..sources.sinks import unique_texts
 
@@ -33,7 +35,7 @@ def _seen(spark: SparkSession, path: str, key: str, batch_id: int, fresh: DataFr
 
 
 def process_batch(batch: DataFrame, batch_id: int, out: str, options: ExtractOptions, keep_paragraphs) -> None:
-    """Extract one batch: each URL once ever, each text once ever.
+    """Extract one batch: each canonical URL once ever, each text once ever.
 
     Every output sits in its own `batch_id` folder and a batch ignores its
     own folder as history, so running a batch again writes the same rows.
@@ -44,18 +46,21 @@ def process_batch(batch: DataFrame, batch_id: int, out: str, options: ExtractOpt
     if "content_type" in batch.columns:
         batch = admit(batch)
     # copies of one URL shrink inside each task: only the id is compared
-    first = batch.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    first = batch.groupBy(canonical_url(F.col("url")).alias("url")).agg(F.min("page_id").alias("page_id"))
     fresh = first.join(_seen(spark, f"{out}/urls", "url", batch_id, first), "url", "left_anti")
     pages = batch.join(fresh.select("page_id"), "page_id", "left_semi")
     texts = unique_texts(extract_page_text(pages, options, keep_paragraphs))
     folder = f"batch_id={batch_id}"
     staged = f"{out}/_staged/{folder}"
-    texts.write.mode("overwrite").parquet(staged)
-    texts = spark.read.parquet(staged)
-    old = _seen(spark, f"{out}/texts", "content_hash", batch_id, texts)
-    texts.join(old, "content_hash", "left_anti").select(*texts.columns).write.mode("overwrite").parquet(
-        f"{out}/texts/{folder}"
-    )
+    try:
+        texts.write.mode("overwrite").parquet(staged)
+        texts = spark.read.parquet(staged)
+        old = _seen(spark, f"{out}/texts", "content_hash", batch_id, texts)
+        texts.join(old, "content_hash", "left_anti").select(*texts.columns).write.mode("overwrite").parquet(
+            f"{out}/texts/{folder}"
+        )
+    finally:
+        remove_folder(spark, f"{out}/_staged")
     fresh.select("url").write.mode("overwrite").parquet(f"{out}/urls/{folder}")
 
 

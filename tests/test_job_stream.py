@@ -61,6 +61,8 @@ def test_job(spark, tmp_path):
     assert {r.page_id: r.text for r in out["texts"].collect()} == {0: "Zero\nn", 1: "One\nn", 2: "Two", 3: "Three"}
     assert [r.local_path for r in out["manifest"].collect()] == ["images/i.png"]
     assert "links" not in out
+    based = run_extract(spark, site(spark), str(tmp_path / "based"), ExtractOptions(media_base="http://seed/d/p"))
+    assert [r.url for r in based["media"].collect()] == ["http://seed/i.png"]
 
 
 def test_job_with_crawl_and_text_only(spark, tmp_path):
@@ -86,7 +88,7 @@ def test_job_with_quality_filter(spark, tmp_path):
 def test_options():
     assert ExtractOptions(text_only=True, media_types=("images",)).effective_media_types() == ()
     assert ExtractOptions(media_types=(" Images ", "AUDIO")).effective_media_types() == ("images", "audio")
-    assert ExtractOptions() == ExtractOptions(("images", "videos", "audio"), False, False, False, None, False, 0.6, True)
+    assert ExtractOptions() == ExtractOptions(("images", "videos", "audio"), False, False, False, None, False, 0.6, True, "reference", None)
 
 
 def test_stream_handles_each_url_and_text_once(spark, tmp_path):
@@ -101,12 +103,22 @@ def test_stream_handles_each_url_and_text_once(spark, tmp_path):
     assert arrive((3, "http://a", "<p>changed</p>"), (4, "http://c", "<p>one</p>"), (5, "http://d", "<p>two</p>")) == {"one", "two"}
     assert spark.read.parquet(f"{out}/texts").count() == 2
     assert spark.read.parquet(f"{out}/urls").count() == 4
+    assert arrive((6, "http://d#top", "<p>fragment</p>")) == {"one", "two"}  # the same canonical URL
+    assert spark.read.parquet(f"{out}/urls").count() == 4 and not os.path.exists(f"{out}/_staged")
     # a batch that runs again writes the same rows
     again = spark.createDataFrame([(5, "http://d", "<p>two</p>"), (4, "http://c", "<p>one</p>")], "page_id long, url string, html string")
     process_batch(again, 1, out, ExtractOptions(), None)
     assert spark.read.parquet(f"{out}/texts").count() == 2 and spark.read.parquet(f"{out}/urls").count() == 4
 
 
+def test_job_and_crawl_leave_no_intermediate_tables(spark, tmp_path):
+    root = checkpoint_root(spark).removeprefix("file:")
+    held = lambda: {d for d in (os.listdir(root) if os.path.isdir(root) else []) if d.startswith(("nodes-", "edges-"))}
+    before = held()
+    run_extract(spark, site(spark), str(tmp_path / "o"), ExtractOptions(crawl=True, crawl_limit=3), seeds=["http://s/0"])
+    assert held() == before
+
+
 def test_checkpoint_folder_of_the_session_is_used(spark):
     assert checkpoint_root(spark) == checkpoint_root(spark)
     assert spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()

@@ -139,13 +139,10 @@ def test_urls_lose_breaks_and_leading_controls(spark):
     assert row.c.startswith("http://h/ab")
 
 
-def test_limit_beyond_top_k_is_ranked(spark, monkeypatch):
-    from pagemill.operators import crawl as C
-
+def test_limit_is_ranked(spark):
     frontier = spark.range(1000).select((999 - F.col("id")).alias("path"), "id")
     want = set(range(400))
-    monkeypatch.setattr(C, "_TOP_K", 10)
-    assert {r.path for r in crawl_limit(frontier, 400).collect()} == want
+    assert {r.path for r in crawl_limit(frontier, 400, "path").collect()} == want
     assert [r["rank"] for r in ranked(frontier, "path").orderBy("path").collect()] == list(range(1, 1001))
 
 
@@ -153,7 +150,7 @@ def test_edges_are_joined_without_a_shuffle_of_their_own(spark):
     from pagemill.operators.crawl import _bucketed_edges, _next_level
 
     edges = page_edges(site(spark, GRAPH), seeds_frame(spark, ["http://s/0"]))
-    level = spark.createDataFrame([("http://s/0", [0])], "url string, path array<bigint>")
+    level = spark.createDataFrame([("http://s/0", 1)], "url string, rank long")
     with _bucketed_edges(edges) as table:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         try:
