@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,14 +19,54 @@ TEMPLATE_BYTES = 8 << 20
 
 
 # --- documents to vectors -----------------------------------------------
-def pooled(model: Callable, texts: list[str], max_length: int | None) -> np.ndarray:
-    """Masked mean over the token vectors a model returns for a batch."""
-    tokens, mask = model(texts, max_length)
-    tokens, mask = np.asarray(tokens, dtype=np.float64), np.asarray(mask, dtype=np.float64)
-    used = mask.sum(axis=1, keepdims=True)
+def windows(text: str, max_length: int | None) -> list[str]:
+    """The whole text in runs of at most `max_length` words; a text that is no longer stays as it is."""
+    words = [] if max_length is None else list(re.finditer(r"\S+", text or ""))
+    if max_length is None or len(words) <= max_length:
+        return [text]
+    runs = [words[i : i + max_length] for i in range(0, len(words), max_length)]
+    return [text[run[0].start() : run[-1].end()] for run in runs]
+
+
+def halves(text: str) -> list[str]:
+    """A text in two, between words if it has several."""
+    text = text.strip()
+    words = list(re.finditer(r"\S+", text))
+    cut = words[len(words) // 2].start() if len(words) > 1 else len(text) // 2
+    return [text[:cut], text[cut:]]
+
+
+def pooled(
+    model: Callable, texts: list[str], max_length: int | None, single_window: bool = False, batch_size: int = 256
+) -> np.ndarray:
+    """Masked mean over the token vectors a model returns for all windows of each text.
+
+    A window whose mask is full may have been cut by the model, as words can be
+    several tokens: it is halved and asked again. With `single_window` each text
+    is one window, and the model may cut it.
+    """
+    asked = [(i, w) for i, t in enumerate(texts) for w in ([t] if single_window else windows(t, max_length))]
+    sums: list = [0.0] * len(texts)
+    used = np.zeros(len(texts))
+    while asked:
+        again = []
+        for start in range(0, len(asked), batch_size):
+            part = asked[start : start + batch_size]
+            tokens, mask = model([w for _, w in part], max_length)
+            tokens, mask = np.asarray(tokens, dtype=np.float64), np.asarray(mask, dtype=np.float64)
+            counts = mask.sum(axis=1)
+            vectors = (tokens * mask[:, :, None]).sum(axis=1)
+            for (i, window), count, vector in zip(part, counts.tolist(), vectors):
+                full = not single_window and max_length is not None and count >= max_length
+                if full and len(window.strip()) > 1:
+                    again += [(i, half) for half in halves(window)]
+                else:
+                    sums[i] = sums[i] + vector
+                    used[i] += count
+        asked = again
     if (used == 0).any():
         raise ValueError("attention mask is all zeros")
-    return (tokens * mask[:, :, None]).sum(axis=1) / np.clip(used, 1e-9, None)
+    return np.array(sums) / np.clip(used, 1e-9, None)[:, None]
 
 
 def hashed_words(text: Column, dimensions: int) -> Column:
@@ -54,12 +95,15 @@ def embed_documents(
     max_length: int | None = 128,
     batch_size: int = 256,
     dimensions: int = 256,
+    single_window: bool = False,
 ) -> DataFrame:
     """Adds `embedding` for `text`.
 
     `model_factory()` runs once per worker and gives a callable
-    (texts, max_length) -> (token vectors, mask).  Without one, a hashed bag
-    of words over the whole text is used, on the JVM.
+    (texts, max_length) -> (token vectors, mask).  A text is read in as many
+    windows of `max_length` as it takes; `single_window` keeps only what the
+    model reads of it at once.  Without a model, a hashed bag of words over the
+    whole text is used, on the JVM.
     """
     if model_factory is None:
         return df.withColumn("embedding", hashed_words(F.col("text"), dimensions))
@@ -70,7 +114,8 @@ def embed_documents(
         for texts in batches:
             vectors: list[np.ndarray] = []
             for start in range(0, len(texts), batch_size):
-                vectors.extend(pooled(model, texts[start : start + batch_size].tolist(), max_length))
+                part = texts[start : start + batch_size].tolist()
+                vectors.extend(pooled(model, part, max_length, single_window, batch_size))
             yield pd.Series(vectors)
 
     return df.withColumn("embedding", embed("text"))

@@ -80,25 +80,27 @@ def semantic_filter(
     threshold: float,
     model_factory: Callable,
     templates: Sequence[str] = QUALITY_TEMPLATES,
-    max_length: int = 128,
+    max_length: int | None = 128,
+    single_window: bool = False,
 ) -> Callable[[Column], Column]:
     """Paragraph filter by the enhanced score.
 
     One vectorised step scores all paragraphs of a batch of texts against the
     templates, with the model loaded once per task; the rest is column work
-    inside the row.
+    inside the row. Paragraphs are read in windows of `max_length`, whole unless
+    `single_window` is set.
     """
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def similarities(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = model_factory()
-        against = unit_rows(pooled(model, list(templates), max_length))
+        against = unit_rows(pooled(model, list(templates), max_length, single_window))
         for paragraphs in batches:
             lists = [p or [] for p in paragraphs.to_pylist()]
             flat = [p for ps in lists for p in ps]
             best = [np.empty(0)]
             for start in range(0, len(flat), 256):
-                vectors = unit_rows(pooled(model, flat[start : start + 256], max_length))
+                vectors = unit_rows(pooled(model, flat[start : start + 256], max_length, single_window))
                 best.append((vectors @ against.T).max(axis=1))
             ends = np.cumsum([0] + [len(ps) for ps in lists])
             values = pa.array(np.concatenate(best), pa.float64())

@@ -108,6 +108,28 @@ def test_embed_with_model_and_without(spark):
         assert row.embedding == pytest.approx(list(counts / np.linalg.norm(counts)))
 
 
+def test_model_reads_whole_texts(spark):
+    texts = ["a " * 10 + "bbbb " * 300, "a" * 50, "a bb", "abcdef " * 9]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+
+    def factory():
+        def model(texts, max_length):  # a token is two characters of a word; it cuts at max_length
+            pieces = [[w[i : i + 2] for w in t.split() for i in range(0, len(w), 2)][:max_length] for t in texts]
+            width = max(map(len, pieces))
+            mask = np.array([[1] * len(p) + [0] * (width - len(p)) for p in pieces])
+            return np.array([[[float(x.count("b")), 1.0] for x in p] + [[9.0, 9.0]] * (width - len(p)) for p in pieces]), mask
+
+        return model
+
+    got = {r.i: r.embedding for r in embed_documents(df, factory, max_length=8, batch_size=3).collect()}
+    assert got[0] == pytest.approx([1200 / 610, 1.0])
+    assert got[1] == pytest.approx([0.0, 1.0])
+    assert got[2] == pytest.approx([1.0, 1.0])
+    assert got[3] == pytest.approx([1 / 3, 1.0])
+    first = embed_documents(df, factory, max_length=8, single_window=True).orderBy("i").first()
+    assert first.embedding == pytest.approx([0.0, 1.0])
+
+
 def test_similar_pairs_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(60, 8))
