@@ -60,6 +60,44 @@ def hashed_sample(df: DataFrame, size: int, seed: str, *columns: str) -> DataFra
     return df.where(F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) < int((1 << 40) * size / rows))
 
 
+def least_hashed(rows: DataFrame, of: str, label: Column, most: int) -> DataFrame:
+    """The distinct rows of each label with the `most` least hashes of column `of`, and maybe a few more.
+
+    All rows are read, and every task keeps no more than it may give: what is
+    exchanged does not grow with the rows, and a rare label is not thinned out.
+    """
+    names = [of, *(c for c in rows.columns if c != of)]
+    keyed = rows.select(*names, label.cast("int").alias("_label"), F.xxhash64(of).alias("_hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, set] = {}
+        limits: dict[int, tuple] = {}
+        schema = None
+
+        def prune(at: int) -> None:
+            least = sorted(kept[at])[:most]
+            kept[at] = set(least)
+            if len(least) == most:
+                limits[at] = least[-1]
+
+        for batch in batches:
+            schema = batch.schema
+            values = zip(*(batch.column(c).to_pylist() for c in ("_hash", *names)))
+            for at, row in zip(batch.column("_label").to_pylist(), values):
+                if at in limits and row > limits[at]:
+                    continue
+                kept.setdefault(at, set()).add(row)
+                if len(kept[at]) > 2 * most:
+                    prune(at)
+        for at in kept:
+            prune(at)
+            columns = zip(*kept[at])
+            next(columns)  # the hash
+            yield pa.RecordBatch.from_arrays([pa.array(v, schema.field(n).type) for n, v in zip(names, columns)], names)
+
+    return keyed.mapInArrow(run, rows.select(*names).schema).select(*rows.columns).distinct()
+
+
 def _bounds(edges: DataFrame) -> DataFrame:
     """Both directions of every edge with the least label around the source."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

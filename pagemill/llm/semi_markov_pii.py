@@ -7,12 +7,12 @@ from features of the whole span (its shape, length, number of digits and
 groups, the words before and after it), the neighbouring types add a
 transition, and bounded-entity dynamic programming finds the best segmentation.
 It is trained by maximum likelihood, with the forward-backward sums over
-segmentations, on the regions of a bounded sample of documents labelled by the
+segmentations, on a bounded sample of the regions of all documents labelled by the
 rules. What it finds apart from the base spans is added if a type's minimum of
 digits or marks is there and the span's posterior is high.
 
 Defined results: a null text is empty; a text without such characters has no
-spans; without labelled regions in the sample nothing is added; repeated rows
+spans; without labelled regions in the whole table nothing is added; repeated rows
 are returned as often as they come; an empty table gives an empty table; other
 columns are ignored.
 """
@@ -28,15 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, map_rows
+from .common import least_hashed, map_rows
 from .spans import Span, add_apart, digest, joined
 
 KINDS = ("email", "ip", "card", "phone")
 TYPES = ("other", *KINDS)
 #: Longest segment of personal data, in tokens.
 MAX_TOKENS = 24
-#: Documents, and regions, that training reads, about and at most.
-SAMPLE_DOCUMENTS = 10_000
+#: Regions that training reads at most.
 SAMPLE_REGIONS = 300
 POSTERIOR = 0.9
 HASHED = 1 << 12
@@ -296,9 +295,9 @@ def labelled_regions(documents: DataFrame) -> DataFrame:
     return map_rows(documents.select("text"), "text string, found string", make)
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS, most: int = SAMPLE_REGIONS) -> SemiMarkov | None:
+def fit(documents: DataFrame, most: int = SAMPLE_REGIONS) -> SemiMarkov | None:
     """The field, trained on at most `most` labelled regions; None if there is none with personal data."""
-    rows = labelled_regions(hashed_sample(documents, sample, "pii", "doc_id", "text")).distinct()
+    rows = least_hashed(labelled_regions(documents), "text", F.col("found") == "", most)
     data = []
     for row in rows.orderBy(F.col("found") == "", F.xxhash64("text"), "text").limit(most).collect():
         spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in row.found.split(",") if x)]

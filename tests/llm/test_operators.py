@@ -288,6 +288,16 @@ class TestSecrets:
         cleaned = secret_cnn.blank_secrets(docs(spark, [*rows[:2], (None, None, None, None)]), network).collect()
         assert all("password=" not in (r.text or "") and r.n_chars == (None if r.text is None else len(r.text)) for r in cleaned)
 
+    def test_rare_findings_of_a_large_table_train(self, spark):
+        key = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:20]
+        rows = [(i, f"no secret in extraordinarilylong{i % 500}words", "en", "a") for i in range(40_000)]
+        rows += [(50_000 + i, f"the old password={key(i)} is here", "en", "a") for i in range(5)]
+        got = secret_cnn.labelled_windows(docs(spark, rows)).where("label = 1").distinct().count()
+        network = secret_cnn.fit(docs(spark, rows))
+        assert got >= 10 and network.threshold <= 1
+        sample = common.least_hashed(secret_cnn.labelled_windows(docs(spark, rows)), "window", F.col("label"), 20)
+        assert sample.where("label = 1").count() == got
+
     def test_awkward_rows(self, spark):
         found = secret_cnn.scan_secrets(docs(spark, [*AWKWARD, (30, SECRETS[0], "en", "a")])).collect()
         assert len(found) == len(AWKWARD) + 1
