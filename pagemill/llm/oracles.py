@@ -86,6 +86,59 @@ SELECT doc_id, size, source_size, target, taken,
 FROM y
 """
 
+_HARD = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+  s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY rank <= 5
+"""
+
+_PHRASES = r"""
+WITH pieces AS (
+  SELECT COALESCE(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), o AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: w[i:i + size - 1])) AS p
+  FROM w, (SELECT unnest([1, 2, 3]) AS size)
+), f AS (
+  SELECT lang, p, size, count(*) AS f FROM o GROUP BY ALL
+), n AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+), cuts AS (
+  SELECT c.lang, c.p, c.size, c.f AS a, k.k, x.f AS l, y.f AS r,
+    CAST(1000000 * CAST(c.f AS HUGEINT) * c.f // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM f c JOIN (SELECT unnest([1, 2]) AS k) k ON k.k < c.size AND c.size > 1 AND c.f >= 10
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k.k + 1:]
+), c AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), kept AS (
+  SELECT * FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c t WHERE t.lang = c.lang AND t.size = c.size + 1 AND 100 * t.a >= 50 * c.a
+      AND (t.p[1:c.size] = c.p OR t.p[2:] = c.p))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+  array_to_string(p, ' ') AS phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": _TOP_K, "op4_warc_chunks": _WARC, "op9_curriculum_mix": _MIX}
+    return {"op1_exact_topk": _TOP_K, "op4_warc_chunks": _WARC, "op9_curriculum_mix": _MIX, "op11_hard_negatives": _HARD, "op12_phrase_growth": _PHRASES}

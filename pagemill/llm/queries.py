@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_ann, curriculum_mix, exact_topk, language_mixture, license_rules, secret_cnn, semi_markov_pii
-from . import simhash_bktree, transducer_bpe, warc_chunks
+from . import adaptive_ann, curriculum_mix, exact_topk, hard_negatives, language_mixture, license_rules, phrase_growth
+from . import secret_cnn, semi_markov_pii, simhash_bktree, toxic_automata, transducer_bpe, warc_chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,24 @@ def op10_simhash_bktree(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(vectors, F.col("vec_id") % hard_negatives.ANCHOR_EVERY == 0)
+
+
+def op12_phrase_growth(spark: SparkSession, sf: str) -> DataFrame:
+    return phrase_growth.collocations(_table(spark, sf, "documents"))
+
+
+def op13_toxic_automata(spark: SparkSession, sf: str) -> DataFrame:
+    documents, labels = _table(spark, sf, "documents"), _table(spark, sf, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = toxic_automata.fit(documents, labels.where(~held_out))
+    scored = toxic_automata.score(documents, model)
+    return scored.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_exact_topk,
@@ -71,5 +89,8 @@ def queries() -> dict[str, Query]:
         op8_adaptive_ann,
         op9_curriculum_mix,
         op10_simhash_bktree,
+        op11_hard_negatives,
+        op12_phrase_growth,
+        op13_toxic_automata,
     )
     return {q.__name__: q for q in found}
