@@ -115,28 +115,40 @@ WITH pieces AS (
   FROM documents
 ), w AS (
   SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), t AS (
+  SELECT lang, unnest(range(1, len(w) + 1)) AS i, w FROM w WHERE len(w) > 0
 ), o AS (
-  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: w[i:i + size - 1])) AS p
-  FROM w, (SELECT unnest([1, 2, 3]) AS size)
-), f AS (
-  SELECT lang, p, size, count(*) AS f FROM o GROUP BY ALL
+  SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM t
+), f1 AS (
+  SELECT lang, w1, count(*) AS f FROM o GROUP BY ALL
+), f2 AS (
+  SELECT lang, w1, w2, count(*) AS f FROM o WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), f3 AS (
+  SELECT lang, w1, w2, w3, count(*) AS f FROM o WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
 ), n AS (
-  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang
 ), cuts AS (
-  SELECT c.lang, c.p, c.size, c.f AS a, k.k, x.f AS l, y.f AS r,
-    CAST(1000000 * CAST(c.f AS HUGEINT) * c.f // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
-  FROM f c JOIN (SELECT unnest([1, 2]) AS k) k ON k.k < c.size AND c.size > 1 AND c.f >= 10
-  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k.k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k.k + 1:]
+  SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, 1 AS k, c.f AS a, x.f AS l, y.f AS r
+  FROM f2 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w2
+  UNION ALL
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 1, c.f, x.f, y.f
+  FROM f3 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f2 y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+  UNION ALL
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 2, c.f, x.f, y.f
+  FROM f3 c JOIN f2 x ON x.lang = c.lang AND x.w1 = c.w1 AND x.w2 = c.w2 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w3
+), s AS (
+  SELECT *, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts
 ), c AS (
-  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
-), kept AS (
-  SELECT * FROM c WHERE NOT EXISTS (
-    SELECT 1 FROM c t WHERE t.lang = c.lang AND t.size = c.size + 1 AND 100 * t.a >= 50 * c.a
-      AND (t.p[1:c.size] = c.p OR t.p[2:] = c.p))
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, w1 || ' ' || w2 AS phrase, f FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3) GROUP BY ALL
 )
-SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
-  array_to_string(p, ' ') AS phrase, a, l, r, n, score
-FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank,
+  c.phrase, a, l, r, n, score
+FROM c LEFT JOIN longer g ON g.lang = c.lang AND g.phrase = c.phrase JOIN n ON n.lang = c.lang
+WHERE g.f IS NULL OR 100 * g.f < 50 * a
+QUALIFY rank <= 2000
 """
 
 
