@@ -57,7 +57,7 @@ FEATURES = 4
 
 def allowed(length: int) -> int:
     """Edits that a term of so many letters may have."""
-    return 0 if length < 5 else 1 if length < 9 else 2
+    return 0 if length < 5 else 1 if length < 10 else 2
 
 
 def pieces(term: str) -> list[str]:
