@@ -32,6 +32,8 @@ FEED_ELEMENTS = frozenset(["rss", "feed", "channel"])
 
 _CDATA = re.compile(r"<!\[CDATA\[(.*?)\]\]>", re.S | re.I)
 _MAYBE_FEED = re.compile(r"<(?:rss|feed|channel)\b", re.I)
+# Character references with more digits than any character needs, zeros in front included.
+_LONG_REFERENCE = re.compile(r"&#(?:([0-9]{9,})|[xX]([0-9a-fA-F]{9,}))")
 _CDATA_MARK = "pagemill-cdata "
 
 # Nodes per Arrow batch sent back to the JVM.
@@ -245,6 +247,12 @@ def _drop_page(out: _Columns, base: int) -> None:
         del column[base:]
 
 
+def _short_reference(m: re.Match) -> str:
+    """The same character with few digits; beyond all characters, one such number."""
+    digits = (m[1] or m[2]).lstrip("0") or "0"
+    return f"&#{'x' if m[2] else ''}{digits}" if len(digits) <= 8 else "&#x110000"
+
+
 def _append_page(out: _Columns, row: int, html: str) -> None:
     """Parse one page into `out`.
 
@@ -259,6 +267,8 @@ def _append_page(out: _Columns, row: int, html: str) -> None:
             return f"<?{_CDATA_MARK}{len(sections) - 1}>"
 
         html = _CDATA.sub(mark, html)
+    if "&#" in html:  # whole numbers of any length end the standard parser in attributes
+        html = _LONG_REFERENCE.sub(_short_reference, html)
     base = len(out.id)
     merge = _MAYBE_FEED.search(html) is None
     while True:

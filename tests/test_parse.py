@@ -82,6 +82,12 @@ def test_endless_character_reference(spark):
     assert any(r.text == "a\ufffdb\ufffdcA" for r in rows)
 
 
+def test_endless_character_reference_in_an_attribute(spark):
+    html = "<a href='&#" + "9" * 5000 + ";x&#x" + "f" * 5000 + ";&#" + "0" * 5000 + "65;'>t</a>"
+    found = [r.attrs["href"] for r in rows(spark, html) if r.tag == "a"]
+    assert found == ["\ufffdx\ufffdA"]
+
+
 def test_markup_bytes_are_decoded_by_charset():
     from pagemill.sources.pages import decode_markup
 
