@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import hashed_sample, map_rows, materialise
+from .common import map_rows, materialise
 
 SAMPLE_TEXTS = 10_000
 LEXICON_WORDS = 1_000
@@ -268,15 +268,20 @@ def _lexicon(labelled: DataFrame, size: int) -> dict[str, float]:
 def fit(documents: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS, size: int = LEXICON_WORDS) -> Model:
     """The model of `labels(doc_id, toxic)` on the texts of `documents`."""
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id").select("text", "toxic")
-    classes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    whole = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    # narrow rows choose the sample; texts are then picked in the scan's tasks
+    rows = materialise(whole.select("doc_id", "hash").join(known, "doc_id").groupBy("hash", "toxic").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "toxic-labels")
+    classes = {r.toxic: (r.texts, r.n) for r in rows.groupBy("toxic").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).collect()}
     model = Model()
-    total = sum(classes.values())
+    total = sum(n for _, n in classes.values())
     if len(classes) < 2:
         model.bias = 30.0 if classes.get(1) else -30.0
         return model
-    parts = [hashed_sample(rows.where(F.col("toxic") == c), texts, "toxic", "text") for c in (0, 1)]
-    sample = materialise(parts[0].union(parts[1]).groupBy("text", "toxic").agg(F.count("*").alias("n")), "toxic-sample")
+    share = {c: int((1 << 40) * min(1.0, texts / found)) for c, (found, _) in classes.items()}
+    cut = F.when(F.col("toxic") == 1, F.lit(share[1])).otherwise(F.lit(share[0]))
+    chosen = materialise(rows.where(F.pmod(F.xxhash64(F.lit("toxic"), "hash"), F.lit(1 << 40)) < cut), "toxic-chosen")
+    picked = whole.join(F.broadcast(chosen), ["doc_id", "hash"])  # about 2 * `texts` narrow rows
+    sample = materialise(picked.dropDuplicates(["hash", "toxic"]).select("text", "toxic", "n"), "toxic-sample")
     model.lexicon = _lexicon(sample.select("text", "toxic"), size)
     lexicon = model.lexicon
 
@@ -293,7 +298,7 @@ def fit(documents: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS, size
     table = map_rows(sample, "toxic int, n long, x array<double>", make).groupBy("toxic", "x").agg(F.sum("n").alias("n")).toPandas()
     x, y, n = np.array(table["x"].tolist(), float).reshape(-1, FEATURES), table["toxic"].to_numpy(float), table["n"].to_numpy(float)
     for c in (0, 1):
-        n[y == c] *= classes[c] / max(n[y == c].sum(), 1)
+        n[y == c] *= classes[c][1] / max(n[y == c].sum(), 1)
     order = np.lexsort((*x.T, y))  # the same sums on every run
     # the weights' decay counts against at most `texts` rows, however many labels there are
     model.weights, model.bias = logistic(x[order], y[order], n[order] * min(1.0, texts / total))
