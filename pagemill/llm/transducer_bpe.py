@@ -26,7 +26,7 @@ import os
 import re
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,10 @@ from .common import map_rows, materialise
 LEXICON_WORDS = 200_000
 #: Longer words are not put into the lexicon.
 LEXICON_WORD_BYTES = 48
-#: Words a task remembers at most.
-CACHE_WORDS = 400_000
+#: Bytes of words, ids and tokens that a task remembers at most, and what one word costs besides its characters.
+CACHE_BYTES, WORD_BYTES = 16 << 20, 420
+#: Characters that are scanned at a time: short texts together, a long one in parts that end before a blank.
+PART_CHARS = 1 << 18
 #: Below this code point the scan's character classes equal the tokenizer library's; others go through its own normalizer.
 _PLAIN_BELOW = 0x530
 #: Words up to so many bytes are merged with plain lists, longer ones with a heap.
@@ -87,14 +89,12 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
+        ids: dict[str, int] = spec["model"]["vocab"]
+        suffix: str = spec["model"]["end_of_word_suffix"] or ""
         self.path = path
-        self.ids: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
-        self.suffix: str = model["end_of_word_suffix"] or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.added.items()}
-        self.numbers = {i: str(i) for i in self.tokens}
+        names = {i: t for t, i in ids.items()} | {i: t for t, i in self.added.items()}
+        self.tokens = [names.get(i, "") for i in range(max(names) + 1)]
         if spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != _SPLIT:
             raise ValueError(f"{path} splits words by another pattern")
         letters, numbers, blanks = _class_body(r"\p{L}"), _class_body(r"\p{N}"), _class_body(r"\s")
@@ -103,17 +103,33 @@ class Vocabulary:
         self._scan_ascii = re.compile(f"[a-z]+|[0-9]|{endings}|[^{blanks}a-z0-9]+").findall
         self._rare = re.compile(f"[{chr(_PLAIN_BELOW)}-\U0010ffff]").search
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
-        self._symbols = _byte_symbols()
-        self._first = [self.ids[c] for c in self._symbols]
-        self._last = [self.ids[c + self.suffix] for c in self._symbols]
-        self._pairs = {self.ids[a] << 20 | self.ids[b]: r for (a, b), r in self.ranks.items()}
-        self._made = [self.ids[a + b] for a, b in self.ranks]
+        symbols = _byte_symbols()
+        self._bytes = {c: b for b, c in enumerate(symbols)}
+        self._first = [ids[c] for c in symbols]
+        self._last = [ids[c + suffix] for c in symbols]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self._pairs = {ids[a] << 20 | ids[b]: r for r, (a, b) in enumerate(pairs)}
+        self._made = np.array([ids[a + b] for a, b in pairs], np.int32)
+        # normaliser and word split of the library; what its model holds is of no use here
+        spec["model"] |= {"vocab": {}, "merges": []}
+        self._spec = json.dumps(spec | {"added_tokens": [], "post_processor": None})
 
     @functools.cached_property
     def _library(self):
         from tokenizers import Tokenizer
 
-        return Tokenizer.from_file(self.path)
+        return Tokenizer.from_str(self._spec)
+
+    def parts(self, text: str) -> Iterator[str]:
+        """Parts of about PART_CHARS characters that hold the same words; each but the first begins with a blank."""
+        start = 0
+        while len(text) - start > PART_CHARS:
+            stop = text.find(" ", start + PART_CHARS)
+            if stop < 0:
+                break
+            yield text[start:stop]
+            start = stop
+        yield text[start:] if start else text
 
     def words(self, text: str) -> list[str]:
         """Normalised words of a text, added tokens among them as they stand."""
@@ -129,7 +145,7 @@ class Vocabulary:
         if not self._rare(low):
             return self._scan(low)
         plain = self._library.normalizer.normalize_str(text)
-        back = {s: b for b, s in enumerate(self._symbols)}
+        back = self._bytes
         pieces = [p for p, _ in self._library.pre_tokenizer.pre_tokenize_str(plain)]
         return [bytes(back[c] for c in p).decode("utf-8") for p in pieces]
 
@@ -142,26 +158,26 @@ class Vocabulary:
             return []
         if len(raw) <= SHORT_BYTES:
             return self._merge_short(raw)
-        parts = [self._symbols[b] for b in raw]
-        parts[-1] += self.suffix
-        n, ranks = len(parts), self.ranks
+        ids, pairs, made = [self._first[b] for b in raw], self._pairs, self._made
+        ids[-1] = self._last[raw[-1]]
+        n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := pairs.get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            rank, i = heapq.heappop(heap)
             j = after[i]
-            if parts[i] != left or j >= n or parts[j] != right:
+            if ids[i] < 0 or j >= n or pairs.get(ids[i] << 20 | ids[j]) != rank:
                 continue
-            parts[i], parts[j] = left + right, ""
+            ids[i], ids[j] = int(made[rank]), -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for a in (before[i], i):
                 b = after[a] if a >= 0 else n
-                if a >= 0 and b < n and (r := ranks.get((parts[a], parts[b]))) is not None:
-                    heapq.heappush(heap, (r, a, parts[a], parts[b]))
-        return [self.ids[p] for p in parts if p]
+                if b < n and (r := pairs.get(ids[a] << 20 | ids[b])) is not None:
+                    heapq.heappush(heap, (r, a))
+        return [i for i in ids if i >= 0]
 
     def _merge_short(self, raw: bytes) -> list[int]:
         """The same with a plain list of the ranks of neighbours."""
@@ -170,7 +186,7 @@ class Vocabulary:
         ranks = [pairs.get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
         while ranks and (least := min(ranks)) < _NONE:
             i = ranks.index(least)
-            ids[i : i + 2] = [self._made[least]]
+            ids[i : i + 2] = [int(self._made[least])]
             del ranks[i]
             if i:
                 ranks[i - 1] = pairs.get(ids[i - 1] << 20 | ids[i], _NONE)
@@ -314,39 +330,84 @@ def fit_lexicon(documents: DataFrame, tokenizer: str | None = None, lexicon_word
 
 
 class Encoder:
-    """Encodes texts; remembers at most CACHE_WORDS words."""
+    """Encodes texts; what it remembers is bounded in bytes, whatever the texts."""
 
     def __init__(self, words: Vocabulary, lexicon: Lexicon, full: bool = True) -> None:
         self.words, self.lexicon, self.full = words, lexicon, full
-        self.known: dict[str, tuple[str, str]] = {}  # ids and tokens of a word, each joined by blanks
-
-    def learn(self, missing: list[str]) -> None:
-        number, token, known, merge = self.words.numbers, self.words.tokens, self.known, self.words.merge
+        self.known: dict[str, tuple[str, str, bytes]] = {}  # ids and tokens of a word, each joined by blanks; ids as int32
+        self.held = 0
+
+    def learn(self, found: list[str]) -> None:
+        """Makes every word of `found` known; forgets all others when there is no room."""
+        distinct = set(found)
+        missing = [w for w in distinct if w not in self.known]
+        if missing and self.held > CACHE_BYTES:
+            self.known.clear()
+            self.held, missing = 0, list(distinct)
+        tokens, known, merge = self.words.tokens, self.known, self.words.merge
         for word, ids in zip(missing, self.lexicon.find(missing)):
             ids = merge(word) if ids is None else ids
-            if len(ids) == 1:
-                known[word] = (number[ids[0]], token[ids[0]])
-            else:
-                known[word] = (" ".join([number[i] for i in ids]), " ".join([token[i] for i in ids]))
+            number, token = " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
+            known[word] = (number, token, np.array(ids, "<i4").tobytes() if self.full else b"")
+            self.held += WORD_BYTES + len(word) + len(number) + len(token) + 4 * len(ids)
 
     def rows(self, texts: list[str]) -> list[tuple]:
-        """(n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) of each text."""
-        scanned = [self.words.words(t) for t in texts]
-        missing = set().union(*scanned).difference(self.known)
-        if missing:
-            if len(self.known) + len(missing) > CACHE_WORDS:
-                self.known.clear()
-                missing = set().union(*scanned)
-            self.learn(list(missing))
-        return [self._row(found) for found in scanned]
-
-    def _row(self, found: list[str]) -> tuple:
-        pairs = list(map(self.known.__getitem__, found))
-        ids = " ".join([p[0] for p in pairs])
-        decoded = " ".join([p[1] for p in pairs])
-        count = ids.count(" ") + 1 if ids else 0
-        head = (count, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-        return (*head, [int(i) for i in ids.split()], decoded) if self.full else head
+        """(n_tokens, ids_sha256, decoded_sha256[, ids as int32 bytes, decoded]) of each text."""
+        out: list[tuple] = []
+        batch: list[list[str]] = []
+        chars = 0
+
+        def close() -> None:
+            nonlocal chars
+            self.learn([w for found in batch for w in found])
+            out.extend(self._row([found]) for found in batch)
+            batch.clear()
+            chars = 0
+
+        for text in texts:
+            if len(text) > PART_CHARS:
+                close()
+                out.append(self._row(self._learnt(text)))
+                continue
+            batch.append(self.words.words(text))
+            chars += len(text)
+            if chars > PART_CHARS:
+                close()
+        close()
+        return out
+
+    def _learnt(self, text: str) -> Iterator[list[str]]:
+        for part in self.words.parts(text):
+            found = self.words.words(part)
+            self.learn(found)
+            yield found
+
+    def _row(self, parts: Iterable[list[str]]) -> tuple:
+        """One text's row from the known words of its parts."""
+        count, id_digest, text_digest = 0, hashlib.sha256(), hashlib.sha256()
+        raw, decoded = [], []
+        for found in parts:
+            if not found:
+                continue
+            known = list(map(self.known.__getitem__, found))
+            ids, text = " ".join([k[0] for k in known]), " ".join([k[1] for k in known])
+            if count:
+                id_digest.update(b" ")
+                text_digest.update(b" ")
+            id_digest.update(ids.encode())
+            text_digest.update(text.encode("utf-8"))
+            count += ids.count(" ") + 1
+            if self.full:
+                raw += [k[2] for k in known]
+                decoded.append(text)
+        head = (count, id_digest.hexdigest(), text_digest.hexdigest())
+        return (*head, b"".join(raw), " ".join(decoded)) if self.full else head
+
+
+def _id_lists(raw: list[bytes]) -> pa.Array:
+    """Lists of the int32 values in each item."""
+    ends = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
 
 
 def encode(documents: DataFrame, tokenizer: str | None = None, lexicon_words: int = LEXICON_WORDS, full: bool = True) -> DataFrame:
@@ -362,9 +423,10 @@ def encode(documents: DataFrame, tokenizer: str | None = None, lexicon_words: in
             for start in range(0, len(texts), 256):
                 part = texts.slice(start, 256)
                 rows = rows_of([t or "" for t in part.to_pylist()])
-                kinds = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32()), pa.string()] if full else [])]
-                columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(kinds) + 1]
+                columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string()))]
+                if full:
+                    columns += [_id_lists([r[3] for r in rows]), pa.array([r[4] for r in rows], pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns) + 1]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, 256), *columns], names)
 
         return work

@@ -212,6 +212,21 @@ class TestBpe:
         monkeypatch.setattr(transducer_bpe, "SHORT_BYTES", 0)
         assert [words.merge(w) for w in sample] == short
 
+    def test_parts_and_bounded_memory(self, monkeypatch):
+        monkeypatch.setattr(transducer_bpe, "PART_CHARS", 16)
+        monkeypatch.setattr(transducer_bpe, "CACHE_BYTES", 2000)
+        words = transducer_bpe.vocabulary(transducer_bpe.default_tokenizer())
+        encoder = transducer_bpe.Encoder(words, transducer_bpe.Lexicon(transducer_bpe.compile_lexicon({})))
+        rng = np.random.default_rng(2)
+        pieces = [*WORDS[:60], " ", "  ", "\u0301", "\n", "<|endoftext|>", "Σ", "it's", "語", "ԱԲ", "x" * 90, "12", ""]
+        texts = ["", " ", *(" ".join(pieces[i] for i in rng.integers(0, len(pieces), n)) for n in (3, 40, 200, 5, 900))]
+        for text, (count, id_digest, text_digest, raw, decoded) in zip(texts, encoder.rows(texts)):
+            ids, plain = self.library(text)
+            assert np.frombuffer(raw, "<i4").tolist() == ids and decoded == plain and count == len(ids)
+            assert id_digest == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+            assert text_digest == hashlib.sha256(plain.encode()).hexdigest()
+        assert encoder.held < 2000 + 60 * 700
+
     def test_transducer(self):
         lexicon = {w: [i, i + 1] for i, w in enumerate(["a", "ab", "abc", "bc", "xbc", "naïve", "stations", "nations", "nation"])}
         flat = transducer_bpe.compile_lexicon(lexicon)
@@ -288,6 +303,40 @@ class TestSecrets:
         cleaned = secret_cnn.blank_secrets(docs(spark, [*rows[:2], (None, None, None, None)]), network).collect()
         assert all("password=" not in (r.text or "") and r.n_chars == (None if r.text is None else len(r.text)) for r in cleaned)
 
+    def test_network_equals_plain_loops(self):
+        network = secret_cnn.CharacterNetwork()
+        rng = np.random.default_rng(9)
+        network.kernel_bias = rng.normal(size=secret_cnn.FILTERS).astype(np.float32)
+        text = "say Token='aB3/xyz_0123456789abcdefGHIJ', é語\n and more; " + "f00d" * 20
+        windows = [w for a, b in secret_cnn.candidates(text) for w in secret_cnn.window_codes(text, a, b)]
+        assert len(windows) > 2
+        kernel = network.kernel.reshape(secret_cnn.KERNEL, secret_cnn.FEATURES, secret_cnn.FILTERS)
+        for window, got in zip(windows, network.logits(secret_cnn.decode_windows(windows))):
+            symbol, case, inside = np.frombuffer(window, np.uint8).reshape(3, -1).tolist()
+            places = []
+            for p in range(secret_cnn.WIDTH - secret_cnn.KERNEL + 1):
+                total = network.kernel_bias.astype(float)
+                for k in range(secret_cnn.KERNEL):
+                    at = p + k
+                    if symbol[at] < secret_cnn.SYMBOLS:
+                        total = total + kernel[k, symbol[at] + (0 if inside[at] else secret_cnn.SYMBOLS)]
+                    total = total + case[at] * kernel[k, -2] + inside[at] * kernel[k, -1]
+                places.append([max(v, 0) for v in total])
+            pooled = [max(c) for c in zip(*places)] + [4 * sum(c) / len(c) for c in zip(*places)]
+            assert got == pytest.approx(float(np.dot(pooled, network.dense)), rel=1e-3, abs=1e-4)
+
+    def test_recall_on_keys_never_trained_on(self, spark):
+        rng = np.random.default_rng(6)
+        key = lambda n: "".join(rng.choice(list("0123456789abcdefABCDEFGHXYZ"), n))
+        other = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 22))
+        row = lambda i: (i, f"then the token={key(24)} was set for {other()} again", "en", "a")
+        network = secret_cnn.fit(docs(spark, [row(i) for i in range(400)]))
+        assert network.threshold <= 1
+        windows = lambda make, n: [w for _ in range(n) for t in [f"it was {make()} then"] for a, b in secret_cnn.candidates(t) for w in secret_cnn.window_codes(t, a, b)]
+        fresh = network.probability(secret_cnn.decode_windows(windows(lambda: key(24), 500)))
+        clean = network.probability(secret_cnn.decode_windows(windows(other, 500)))
+        assert (fresh >= network.threshold).mean() >= 0.95 and (clean >= network.threshold).mean() <= 0.05
+
     def test_rare_findings_of_a_large_table_train(self, spark):
         key = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:20]
         rows = [(i, f"no secret in extraordinarilylong{i % 500}words", "en", "a") for i in range(40_000)]
