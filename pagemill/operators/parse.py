@@ -36,6 +36,10 @@ _MAYBE_FEED = re.compile(r"<(?:rss|feed|channel)\b", re.I)
 _LONG_REFERENCE = re.compile(r"&#(?:([0-9]{9,})|[xX]([0-9a-fA-F]{9,}))")
 _CDATA_MARK = "pagemill-cdata "
 
+# Kind of the row that stands for a page that could not be parsed, and how much of the reason it keeps.
+ERROR = "error"
+REASON_CHARS = 500
+
 # Nodes per Arrow batch sent back to the JVM.
 _BATCH_NODES = 50_000
 
@@ -103,6 +107,8 @@ class _Nodes(HTMLParser):
         self.buffer: list[str] = []
         self.pieces: list[str] = []
         self.is_feed = self.split_text = False
+        self.searched: str | None = None
+        self.last_end: dict[str, int] = {}
         self._add("doc", "[document]", None)
 
     def _add(self, kind: str, tag: str | None, text: str | None, attrs=()) -> int:
@@ -122,6 +128,36 @@ class _Nodes(HTMLParser):
         out.attr_end.append(len(out.attr_key))
         return node
 
+    # markup that never ends ---------------------------------------------
+    # A search for an end that is not there reads the rest of the page. It is
+    # made once for each kind of end, not at each place that opens a tag.
+    def _lacks(self, end: str, after: int) -> bool:
+        """No `end` from `after` on."""
+        if self.rawdata is not self.searched:
+            self.searched, self.last_end = self.rawdata, {}
+        if end not in self.last_end:
+            self.last_end[end] = self.rawdata.rfind(end)
+        return self.last_end[end] < after
+
+    def check_for_whole_start_tag(self, i: int) -> int:
+        return -1 if self._lacks(">", i) else super().check_for_whole_start_tag(i)
+
+    def parse_endtag(self, i: int) -> int:
+        return -1 if self._lacks(">", i) else super().parse_endtag(i)
+
+    def parse_pi(self, i: int) -> int:
+        return -1 if self._lacks(">", i) else super().parse_pi(i)
+
+    def parse_bogus_comment(self, i: int, report: int = 1) -> int:
+        return -1 if self._lacks(">", i) else super().parse_bogus_comment(i, report)
+
+    def parse_html_declaration(self, i: int) -> int:
+        unended = self._lacks(">", i) and not self.rawdata.startswith("<![", i)
+        return -1 if unended else super().parse_html_declaration(i)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        return -1 if self._lacks("--", i + 4) or self._lacks(">", i + 4) else super().parse_comment(i, report)
+
     # text ---------------------------------------------------------------
     def _end_string(self) -> None:
         """Close the current string; blank ones shrink to one character."""
@@ -288,12 +324,30 @@ def _append_page(out: _Columns, row: int, html: str) -> None:
         return
 
 
+def _append_or_report(out: _Columns, row: int, html: str) -> None:
+    """One page's nodes, or one row with the reason why it has none: no page ends the job."""
+    base = len(out.id)
+    try:
+        _append_page(out, row, html)
+    except Exception as e:
+        _drop_page(out, base)
+        out.feed.append(False)
+        out.row.append(row)
+        out.id.append(0)
+        out.parent.append(None)
+        out.end.append(1)
+        out.kind.append(ERROR)
+        out.tag.append(None)
+        out.text.append(f"{type(e).__name__}: {e}"[:REASON_CHARS])
+        out.attr_end.append(len(out.attr_key))
+
+
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         page_ids, urls, pages = batch.column(0), batch.column(1), batch.column(2)
         out = _Columns()
         for row, html in enumerate(pages):
-            _append_page(out, row, html.as_py() or "")
+            _append_or_report(out, row, html.as_py() or "")
             if len(out.id) >= _BATCH_NODES:
                 yield out.to_batch(page_ids, urls)
                 out = _Columns()
@@ -301,8 +355,8 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield out.to_batch(page_ids, urls)
 
 
-def parse_html(pages: DataFrame) -> DataFrame:
-    """Lenient HTML to node rows.
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """Node rows of every page; a page that cannot be parsed is one row of kind `error`, its reason as text.
 
     Only the three columns the parser needs cross into Python: no filter or
     projection moves through a Python step by itself.
@@ -312,6 +366,21 @@ def parse_html(pages: DataFrame) -> DataFrame:
     return narrow.mapInArrow(_parse_batches, NODES)
 
 
+def without_errors(parsed: DataFrame) -> DataFrame:
+    """The nodes of the pages that could be parsed."""
+    return parsed.filter(F.col("kind") != ERROR)
+
+
+def parse_errors(parsed: DataFrame) -> DataFrame:
+    """(page_id, url, reason) of the pages that could not be parsed."""
+    return parsed.filter(F.col("kind") == ERROR).select("page_id", "url", F.col("text").alias("reason"))
+
+
+def parse_html(pages: DataFrame) -> DataFrame:
+    """Lenient HTML to node rows; `parse_pages` and `parse_errors` tell of pages that cannot be parsed."""
+    return without_errors(parse_pages(pages))
+
+
 def parse_feed(pages: DataFrame) -> DataFrame:
     """XML, RSS and Atom to the same node rows, CDATA as text.
 

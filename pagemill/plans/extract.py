@@ -13,7 +13,7 @@ from ..operators.crawl import crawl, seeds_frame
 from ..operators.links import extract_links
 from ..operators.media import extract_media, media_manifest
 from ..operators.page_text import texts_of_nodes
-from ..operators.parse import parse_html
+from ..operators.parse import parse_errors, parse_pages, without_errors
 from ..operators.quality import heuristic_filter, semantic_filter
 from ..options import ExtractOptions
 from ..session import remove_folder, work_folder
@@ -32,7 +32,7 @@ def paragraph_filter(options: ExtractOptions, model_factory: Callable | None):
 
 @contextmanager
 def parsed(pages: DataFrame) -> Iterator[DataFrame]:
-    """Nodes of the pages, written once to the shared work folder and deleted at the end.
+    """Rows of `parse_pages`, written once to the shared work folder and deleted at the end.
 
     Text, links and media all read them back; a lost executor costs a
     re-read, not another parse.
@@ -40,7 +40,7 @@ def parsed(pages: DataFrame) -> Iterator[DataFrame]:
     spark = pages.sparkSession
     folder = work_folder(spark, "nodes")
     try:
-        parse_html(pages).write.parquet(folder)
+        parse_pages(pages).write.parquet(folder)
         yield spark.read.parquet(folder)
     finally:
         remove_folder(spark, folder)
@@ -58,6 +58,9 @@ def run_extract(
 ) -> dict[str, DataFrame]:
     """Run the job and return the written tables: texts, links, media, manifest.
 
+    A page that cannot be parsed gives nothing but a row (page_id, url, reason)
+    of the table `out`/errors, which is always written.
+
     With seeds only the pages they reach count: the closure when `crawl` is
     on, the seed pages themselves otherwise.
     """
@@ -73,7 +76,9 @@ def run_extract(
             reached = stored.join(start, "key", "left_semi").groupBy("key").agg(F.min("page_id").alias("page_id"))
         ids = reached.select("page_id").filter("page_id is not null").distinct()
         pages = pages.join(ids, "page_id", "left_semi")
-    with parsed(pages) as nodes:
+    with parsed(pages) as rows:
+        nodes = without_errors(rows)
+        parse_errors(rows).write.mode(mode).parquet(f"{out}/errors")
         texts = texts_of_nodes(nodes, nodes, options, paragraph_filter(options, model_factory))
         write_texts(texts, f"{out}/texts", mode)
         names = ["texts"]

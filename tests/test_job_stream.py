@@ -77,6 +77,12 @@ def test_job_with_crawl_and_text_only(spark, tmp_path):
     assert {r.page_id for r in out["texts"].collect()} == {3}
 
 
+def test_job_writes_the_pages_that_failed(spark, tmp_path):
+    run_extract(spark, site(spark), str(tmp_path / "e"))
+    errors = spark.read.parquet(str(tmp_path / "e" / "errors"))
+    assert errors.columns == ["page_id", "url", "reason"] and errors.count() == 0
+
+
 def test_job_with_quality_filter(spark, tmp_path):
     good = "Researchers found that 35% of adults in New York City may show it. Evidence suggests, according to the study, more is there."
     pages = page_frame(spark, f"<main>{good}</main>", "<main>Top 10</main>")

@@ -1,7 +1,14 @@
+import random
+import time
+from html.parser import HTMLParser
+
+import pyarrow as pa
+import pytest
 from pages import by_page, nodes_of, one_column
 
 from pagemill.operators import nodes as N
-from pagemill.operators.parse import fragment_text, parse_html
+from pagemill.operators import parse as P
+from pagemill.operators.parse import fragment_text, parse_errors, parse_html, parse_pages
 
 
 def rows(spark, html):
@@ -95,3 +102,63 @@ def test_markup_bytes_are_decoded_by_charset():
     assert decode_markup(b"<meta charset='latin-1'>\xe9") == "<meta charset='latin-1'>é"
     assert decode_markup(b"\xff\xfe" + "é".encode("utf-16-le")) == "é"
     assert decode_markup(b"\xe9", "text/html; charset=unheard-of") == "\ufffd"
+
+
+class PlainSearch(P._Nodes):
+    """The parser with the standard library's own searches for the ends of tags."""
+
+    check_for_whole_start_tag = HTMLParser.check_for_whole_start_tag
+    parse_endtag = HTMLParser.parse_endtag
+    parse_pi = HTMLParser.parse_pi
+    parse_bogus_comment = HTMLParser.parse_bogus_comment
+    parse_html_declaration = HTMLParser.parse_html_declaration
+    parse_comment = HTMLParser.parse_comment
+
+
+def columns_of(html):
+    out = P._Columns()
+    P._append_page(out, 0, html)
+    return vars(out)
+
+
+def test_searches_for_ends_change_no_node(monkeypatch):
+    rng = random.Random(4)
+    bits = ["<a ", "<a", "</a", "</", "<!--", "-->", "--", ">", "<?", "<!", "<!doctype", "'", '"', "=", "x", " ", "&", "&#", "<b>", "<script>", "</script>", "/", "\n"]
+    pages = ["".join(rng.choices(bits, k=rng.randint(1, 14))) for _ in range(5000)]
+    found = [columns_of(p) for p in pages]
+    monkeypatch.setattr(P, "_Nodes", PlainSearch)
+    assert [columns_of(p) for p in pages] == found
+
+
+@pytest.mark.parametrize("unit", ["<a ", "</a ", "<!--", "<?", "<!doctype ", "<p>", "<a x='", "<b><i "])
+def test_a_hundred_thousand_unclosed_tags(unit):
+    start = time.process_time()
+    columns_of(unit * 100_000)
+    assert time.process_time() - start < 20  # the plain searches take many minutes
+
+
+def test_a_page_that_cannot_be_parsed_is_one_row(monkeypatch):
+    append = P._append_page
+
+    def fails_late(out, row, html):
+        append(out, row, html)
+        if "poison" in html:
+            raise ValueError("a reason " + "x" * 5000)
+
+    pages = ["<p a=1>one</p>", "<p b=2>poison<i>", "<p c=3>three", None]
+    batch = pa.RecordBatch.from_pydict({"page_id": [1, 2, 3, 4], "url": list("abcd"), "html": pages})
+    plain = pa.Table.from_batches(P._parse_batches(iter([batch]))).to_pylist()
+    monkeypatch.setattr(P, "_append_page", fails_late)
+    found = pa.Table.from_batches(P._parse_batches(iter([batch]))).to_pylist()
+    errors = [r for r in found if r["kind"] == P.ERROR]
+    assert [(r["page_id"], r["url"], r["text"][:20], len(r["text"])) for r in errors] == [(2, "b", "ValueError: a reason", P.REASON_CHARS)]
+    assert [r for r in found if r["kind"] != P.ERROR] == [r for r in plain if r["page_id"] != 2]
+
+
+def test_errors_are_their_own_table(spark):
+    rows = parse_pages(spark.createDataFrame([(1, "u", "<p>a")], "page_id long, url string, html string"))
+    assert parse_errors(rows).count() == 0 and rows.count() == 3
+    failed = rows.filter("id = 0").selectExpr("page_id + 1 as page_id", "url", "feed", "id", "parent", "end", "'error' as kind", "cast(null as string) as tag", "attrs", "'why' as text")
+    both = rows.union(failed)
+    assert [tuple(r) for r in parse_errors(both).collect()] == [(2, "u", "why")]
+    assert P.without_errors(both).collect() == rows.collect()
