@@ -8,8 +8,9 @@ sample; every row is put into its list. A query looks at its nearest lists. In
 a list, squared differences are summed in blocks of columns, and after each
 block a candidate is given up when a hypothesis test says that its distance,
 judged by the columns so far, is over the query's limit. The limit is the
-distance of its k-th neighbour in the sample. Those that are left get their
-exact score from the original vectors.
+distance of its LIMIT_AT * k-th neighbour in the sample; that is all the sample
+gives to an answer. Those that are left get their exact score from the original
+vectors. Queries with fewer than k left look at every list, without a limit.
 
 Lists are dealt as cells of at most about `SLICE` rows and `CHUNK` look-ups, so
 a list that holds a third of all rows is many groups.
@@ -45,6 +46,10 @@ COLUMNS = 16
 #: Width of the hypothesis test: the part by which an estimate from d columns may exceed the limit is this over the root of d.
 TEST = 2.1
 SLICE, CHUNK = 4096, 1024
+#: The limit is the distance of the neighbour so many times k away in the sample.
+LIMIT_AT = 2
+#: Pairs whose differences are held at a time.
+PAIRS = 65_536
 
 
 class Index:
@@ -80,18 +85,15 @@ class Index:
     def lists(self, points: np.ndarray, n: int = 1) -> np.ndarray:
         return np.concatenate([self._nearest(points[i : i + 2048], self.centres, n) for i in range(0, len(points), 2048)])
 
-    def start(self, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Squared limit of each query, and its k best places in the sample."""
-        limits, places = np.full(len(ids), np.inf), []
+    def limits(self, ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+        """Squared distance of each query's k-th neighbour in the sample, infinite if it has fewer."""
+        limits = np.full(len(ids), np.inf)
         for i, (own, row) in enumerate(zip(ids, rows)):
             score = self.rows @ row
             score[self.ids == own] = -np.inf
-            n = int((self.ids != own).sum())
-            best = np.argpartition(-score, min(k, n) - 1)[: min(k, n)] if n else np.empty(0, np.int64)
-            places.append(best)
-            if n >= k:
-                limits[i] = row @ row + self.top - 2 * score[best].min()
-        return limits, places
+            if int((self.ids != own).sum()) >= k:
+                limits[i] = row @ row + self.top - 2 * np.partition(score, len(score) - k)[len(score) - k]
+        return limits
 
 
 def survivors(points: np.ndarray, queries: np.ndarray, limits: np.ndarray, columns: int = COLUMNS, test: float = TEST) -> tuple[np.ndarray, np.ndarray]:
@@ -104,8 +106,9 @@ def survivors(points: np.ndarray, queries: np.ndarray, limits: np.ndarray, colum
         if q is None:
             whole = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b) - 2 * a @ b.T
         else:
-            step = a[q] - b[c]
-            away = away + np.einsum("ij,ij->i", step, step)
+            for i in range(0, len(q), PAIRS):
+                step = a[q[i : i + PAIRS]] - b[c[i : i + PAIRS]]
+                away[i : i + PAIRS] += np.einsum("ij,ij->i", step, step)
         done = upto
         slack = (1 + test / np.sqrt(done)) ** 2 * done / d if done < d else 1 + 1e-9
         if q is None:
@@ -157,7 +160,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAMPL
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for ids, values in matrices(batch.column("vec_id"), batch.column("embedding")):
-                limits, places = index.start(ids, values, k)
+                limits = index.limits(ids, values, LIMIT_AT * k)
                 near = index.lists(index.turn(values, query=True), probes).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -165,10 +168,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAMPL
                         _lists_of(values),
                         pa.array(limits),
                         pa.array(list(near), pa.list_(pa.int32())),
-                        pa.array([index.ids[p] for p in places], pa.list_(pa.int64())),
-                        pa.array([index.rows[p] @ row for p, row in zip(places, values)], pa.list_(pa.float64())),
                     ],
-                    ["query_id", "embedding", "max_square", "lists", "known", "known_scores"],
+                    ["query_id", "embedding", "max_square", "lists"],
                 )
 
         return work
@@ -177,23 +178,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAMPL
     asked = materialise(
         map_rows(
             usable.where("is_query").select("vec_id", "embedding"),
-            "query_id long, embedding array<double>, max_square double, lists array<int>, known array<long>, known_scores array<double>",
+            "query_id long, embedding array<double>, max_square double, lists array<int>",
             make_ask,
         ),
         "ann-queries",
     )
     looks = asked.select("query_id", F.col("embedding").alias("q"), "max_square", F.explode("lists").alias("list"))
 
-    # a list of many rows or look-ups becomes a grid of cells
-    sizes = placed.groupBy("list").agg(F.count("*").alias("rows"))
-    sizes = sizes.join(looks.groupBy("list").agg(F.count("*").alias("looks")), "list")
-    grid = materialise(sizes.select("list", F.ceil(F.col("rows") / SLICE).cast("int").alias("slices"), F.ceil(F.col("looks") / CHUNK).cast("int").alias("chunks")), "ann-grid")
-
-    def dealt(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64(name), F.col(own)).cast("int")
-        cells = df.join(grid, "list").withColumn("_own", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return cells.withColumns({own: F.col("_own"), other: F.col("_other")}).drop("_own", "_other")
-
     def scan(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         index = shared.value
         if not len(candidates) or not len(queries):
@@ -212,13 +203,31 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAMPL
         keep = place < k
         return pa.table([pa.array(names[q[keep]]), pa.array(ids[c[keep]]), pa.array(scores[keep])], schema=_FOUND)
 
-    left = dealt(placed, "vec_id", "slices", "chunks").groupBy("list", "slices", "chunks")
-    right = dealt(looks, "query_id", "chunks", "slices").groupBy("list", "slices", "chunks")
-    found = left.cogroup(right).applyInArrow(scan, "query_id long, vec_id long, score double")
-    known = asked.select("query_id", F.explode(F.arrays_zip("known", "known_scores")).alias("x")).select("query_id", F.col("x.known").alias("vec_id"), F.col("x.known_scores").alias("score"))
-    once = found.union(known).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    placed_sizes = placed.groupBy("list").agg(F.count("*").alias("rows"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best(looks: DataFrame) -> DataFrame:
+        """The k best that the scan leaves of the lists to look at; a list of many rows or look-ups is a grid of cells."""
+        sizes = placed_sizes.join(looks.groupBy("list").agg(F.count("*").alias("looks")), "list")
+        grid = materialise(sizes.select("list", F.ceil(F.col("rows") / SLICE).cast("int").alias("slices"), F.ceil(F.col("looks") / CHUNK).cast("int").alias("chunks")), "ann-grid")
+
+        def dealt(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
+            mine = F.pmod(F.xxhash64(name), F.col(own)).cast("int")
+            cells = df.join(grid, "list").withColumn("_own", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            return cells.withColumns({own: F.col("_own"), other: F.col("_other")}).drop("_own", "_other")
+
+        left = dealt(placed, "vec_id", "slices", "chunks").groupBy("list", "slices", "chunks")
+        right = dealt(looks, "query_id", "chunks", "slices").groupBy("list", "slices", "chunks")
+        found = left.cogroup(right).applyInArrow(scan, "query_id long, vec_id long, score double")
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    first = materialise(best(looks), "ann-found")
+    filled = first.where(F.col("rank") == k).select("query_id")
+    # queries with fewer than k left look at all lists, without a limit
+    short = materialise(asked.join(filled, "query_id", "left_anti"), "ann-short")
+    again = short.select("query_id", F.col("embedding").alias("q"), F.lit(float("inf")).alias("max_square"), F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("list"))
+    return first.join(filled, "query_id", "left_semi").select(*first.columns).union(best(again))
 
 
 def _lists_of(rows: np.ndarray) -> pa.Array:
