@@ -337,6 +337,62 @@ class TestSecrets:
         clean = network.probability(secret_cnn.decode_windows(windows(other, 500)))
         assert (fresh >= network.threshold).mean() >= 0.95 and (clean >= network.threshold).mean() <= 0.05
 
+    def test_every_window_trains_or_calibrates(self, spark, monkeypatch):
+        key = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:20]
+        table = docs(spark, [(i, f"the password={key(i)} and extraordinarily{i}longwords here", "en", "a") for i in range(1_200)])
+        used = {}
+        monkeypatch.setattr(secret_cnn, "_train", lambda network, rows: used.update(train=rows.select("label", "window", "key")))
+        monkeypatch.setattr(secret_cnn.CharacterNetwork, "calibrate", lambda self, scores, recall: used.update(held=scores))
+        secret_cnn.fit(table)
+        windows = secret_cnn.labelled_windows(table).distinct()
+        held = windows.join(used["train"], ["label", "window", "key"], "left_anti").groupBy("label").count()
+        assert all(r["count"] > 1_500 for r in windows.groupBy("label").count().collect())
+        assert {r.label: r["count"] for r in held.collect()} == {r.label: r.n for r in used["held"].groupBy("label").agg(F.sum("n").alias("n")).collect()}
+        assert held.agg(F.sum("count")).first()[0] < windows.count() / 3
+
+    def test_training_is_the_mean_of_shards(self, spark, monkeypatch):
+        monkeypatch.setattr(secret_cnn, "SHARD_WINDOWS", 20)
+        monkeypatch.setattr(secret_cnn, "MEAN_OF", 2)
+        monkeypatch.setattr(secret_cnn, "ROUNDS", 2)
+        key = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:20]
+        table = docs(spark, [(i, f"the password={key(i)} and extraordinarily{i}longwords here", "en", "a") for i in range(30)])
+        rows = secret_cnn.labelled_windows(table).distinct()
+        network, plain = secret_cnn.CharacterNetwork(), secret_cnn.CharacterNetwork()
+        secret_cnn._train(network, rows)
+        count = rows.count()
+        shards = -(-count // 20)
+        assert shards > 4
+        dealt = {}
+        for r in rows.withColumn("shard", F.pmod(F.xxhash64("window"), F.lit(shards))).orderBy("window", "label").collect():
+            dealt.setdefault(r.shard, []).append(r)
+        sizes = [sum(r.label == label for part in dealt.values() for r in part) for label in (0, 1)]
+        state = plain.first_state()
+        for round_ in range(2):
+            total = 0
+            for shard, part in dealt.items():
+                y = np.array([r.label for r in part])
+                x = secret_cnn.decode_windows([bytes(r.window) for r in part])
+                weight = np.array([count / (2 * n) for n in sizes], np.float32)[y]
+                total = total + len(part) * plain.trained(state, x, y.astype(np.float32), weight, 2 * shard + round_).astype(float)
+            state = (total / count).astype(np.float32)
+        plain.load(state)
+        assert np.allclose(network.kernel, plain.kernel, atol=1e-4) and np.allclose(network.dense, plain.dense, atol=1e-4)
+
+    def test_kernel_gradient_and_value_at(self, spark):
+        rng = np.random.default_rng(4)
+        x, grad = rng.integers(0, 340, (3, secret_cnn.WIDTH)), rng.normal(size=(3, secret_cnn.WIDTH - 4, secret_cnn.FILTERS)).astype(np.float32)
+        want = np.zeros((secret_cnn.KERNEL * secret_cnn.FEATURES, secret_cnn.FILTERS))
+        for i in range(3):
+            for p in range(grad.shape[1]):
+                features = secret_cnn._STATES[x[i, p : p + secret_cnn.KERNEL]].ravel()
+                want += features[:, None] * grad[i, p]
+        assert np.allclose(secret_cnn.CharacterNetwork()._kernel_gradient(x, grad), want, atol=1e-3)
+        values = [(float(v), int(n)) for v, n in zip(rng.permutation(50), rng.integers(1, 5, 50))]
+        plain = sorted(v for v, n in values for _ in range(n))
+        table = spark.createDataFrame(values, "value double, n long")
+        for at in (0, 1, len(plain) // 2, len(plain) - 1):
+            assert secret_cnn.value_at(table, at) == plain[at]
+
     def test_rare_findings_of_a_large_table_train(self, spark):
         key = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:20]
         rows = [(i, f"no secret in extraordinarilylong{i % 500}words", "en", "a") for i in range(40_000)]
