@@ -1,4 +1,9 @@
-"""Breadth-first closure over stored pages."""
+"""Breadth-first closure over stored pages.
+
+Joins of tables that grow with the crawl are merge joins by hint: a level or the
+visited set may look small enough to broadcast at every level, and each
+broadcast passes through the driver.
+"""
 
 from __future__ import annotations
 
@@ -72,7 +77,7 @@ def page_edges(pages: DataFrame, seeds: DataFrame, mode: str = "reference") -> D
     edges = (
         links.groupBy("page_id", F.col("link_url").alias("dst")).agg(F.min("pos").alias("pos"))
     )
-    return edges.join(chosen, "page_id").select("src", "dst", "pos")
+    return edges.join(chosen.hint("merge"), "page_id").select("src", "dst", "pos")
 
 
 @contextmanager
@@ -134,7 +139,7 @@ def crawl(
         .groupBy("key")
         .agg(F.min("page_id").alias("page_id"))
     )
-    return visited.join(stored, canonical_url(visited["url"]) == stored["key"], "left").select(
+    return visited.join(stored.hint("merge"), canonical_url(visited["url"]) == stored["key"], "left").select(
         visited["url"], "depth", "page_id"
     )
 
@@ -144,14 +149,14 @@ def _next_level(
 ) -> DataFrame:
     """URLs one step beyond `level` that were not visited yet; ordered ones with the least (parent, pos)."""
     came = level.select(canonical_url(F.col("url")).alias("src"), *(["rank"] if ordered else []))
-    found = came.join(edges, "src").withColumnRenamed("dst", "url")
+    found = came.hint("merge").join(edges, "src").withColumnRenamed("dst", "url")
     # one row per URL before the anti-join: hot targets shrink inside each task
     if ordered:
         step = F.struct(F.col("rank").alias("parent"), "pos")
         fresh = found.groupBy("url").agg(F.min(step).alias("place")).select("url", "place.*")
     else:
         fresh = found.select("url").distinct()
-    fresh = fresh.join(visited.select("url"), "url", "left_anti")
+    fresh = fresh.join(visited.select("url").hint("merge"), "url", "left_anti")
     return fresh.withColumn("depth", F.lit(depth))
 
 

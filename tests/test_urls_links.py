@@ -161,5 +161,21 @@ def test_edges_are_joined_without_a_shuffle_of_their_own(spark):
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_growing_tables_are_not_broadcast(spark):
+    from pagemill.operators.crawl import _bucketed_edges, _next_level
+
+    def plan(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+    edges = page_edges(site(spark, GRAPH), seeds_frame(spark, ["http://s/0"]))
+    level = spark.createDataFrame([("http://s/0", 1)], "url string, rank long")
+    with _bucketed_edges(edges) as table:
+        for ordered in (False, True):
+            assert "Broadcast" not in plan(_next_level(level, table, level, 1, ordered))
+    assert plan(edges).count("BroadcastHashJoin") <= 1  # the seeds' hosts
+    assert "Broadcast" not in plan(crawl(site(spark, GRAPH), ["http://s/0"]))
+
+
 def test_page_frame_url(spark):
     assert page_frame(spark, "x").first().url.startswith("http://example.com/")
