@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -69,24 +70,31 @@ def pooled(
     return np.array(sums) / np.clip(used, 1e-9, None)[:, None]
 
 
-def hashed_words(text: Column, dimensions: int) -> Column:
-    """Unit vector of word counts; a word's place is the first 32 bits of its MD5, modulo the dimensions."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dimensions)
+def word_counts(dimensions: int):
+    """Arrow function: unit vectors of the counts of lists of words; each distinct word of a batch is hashed once."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def counts(words: pa.Array) -> pa.Array:
+        coded = words.flatten().dictionary_encode()
+        places = [int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % dimensions for w in coded.dictionary.to_pylist()]
+        found = np.array(places, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        lengths = words.value_lengths().to_numpy(zero_copy_only=False)
+        cells = np.repeat(np.arange(len(words)) * dimensions, lengths) + found
+        matrix = np.bincount(cells, minlength=len(words) * dimensions).reshape(-1, dimensions).astype(np.float64)
+        norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+        flat = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * dimensions, pa.int32()), pa.array(flat))
 
-    def let(value: Column, body: Callable[[Column], Column]) -> Column:
-        """`body` of a value that is computed once."""
-        return F.element_at(F.transform(F.array(value), body), 1)
+    return counts
 
-    def count(found: Column) -> Column:
-        zeros = F.array_repeat(F.lit(0), dimensions)
-        return F.transform(zeros, lambda _, i: F.size(F.filter(found, lambda p: p == i)).cast("double"))
 
-    def scale(counts: Column) -> Column:
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-        return let(norm, lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+def hashed_words(text: Column, dimensions: int) -> Column:
+    """Unit vector of word counts; a word's place is the first 32 bits of its MD5, modulo the dimensions.
 
-    return let(places, lambda found: let(count(found), scale))
+    Work grows with the words and not with words x dimensions.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return word_counts(dimensions)(words)
 
 
 def embed_documents(
@@ -103,7 +111,7 @@ def embed_documents(
     (texts, max_length) -> (token vectors, mask).  A text is read in as many
     windows of `max_length` as it takes; `single_window` keeps only what the
     model reads of it at once.  Without a model, a hashed bag of words over the
-    whole text is used, on the JVM.
+    whole text is used.
     """
     if model_factory is None:
         return df.withColumn("embedding", hashed_words(F.col("text"), dimensions))

@@ -108,6 +108,22 @@ def test_embed_with_model_and_without(spark):
         assert row.embedding == pytest.approx(list(counts / np.linalg.norm(counts)))
 
 
+def test_hashed_words_are_counted_once_for_all_dimensions(spark):
+    import hashlib
+
+    texts = [None, "", "...", "É é_1 日本 日本 a-b", "w " * 5000 + " ".join(f"x{i}" for i in range(5000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(1)
+    found = embed_documents(df, dimensions=5000)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()  # no filter for each dimension
+    words = [[], [], [], ["é", "é_1", "日本", "日本", "a", "b"], ["w"] * 5000 + [f"x{i}" for i in range(5000)]]
+    for row in found.collect():
+        counts = np.zeros(5000)
+        for word in words[row.i]:
+            counts[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 5000] += 1
+        assert row.embedding == pytest.approx(list(counts / max(np.linalg.norm(counts), 1e-9)))
+    assert embed_documents(df.where("i < 0"), dimensions=8).collect() == []
+
+
 def test_model_reads_whole_texts(spark):
     texts = ["a " * 10 + "bbbb " * 300, "a" * 50, "a bb", "abcdef " * 9]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
