@@ -14,6 +14,12 @@ _URL = (
 )
 _FIELDS = ("scheme", "netloc", "path", "params", "query", "fragment")
 
+# Short ways for common URLs, with the results of the pattern above. The root, then the host, of a URL whose
+# scheme is in lower case; and a URL that is its own canonical form. What the pattern above cuts or passes over
+# (tabs, line ends of any kind) is left to it.
+_ROOT = r"^([a-z][a-z0-9+.\-]*://([^/?#\t\r\n]*))(?:[/?#]|\z)"
+_CANONICAL = r"^[a-z][a-z0-9+.\-]*://[^;?#\t\r\n\x85\u2028\u2029]*(?:\?[^#\t\r\n\x85\u2028\u2029]+)?\z"
+
 
 def _clean(col: Column) -> Column:
     """Without control characters and blanks in front, and without tabs and line breaks anywhere."""
@@ -32,11 +38,12 @@ def url_parts(col: Column) -> Column:
 
 
 def netloc(col: Column) -> Column:
-    return _part(col, "netloc")
+    return F.when(col.rlike(_ROOT), F.regexp_extract(col, _ROOT, 2)).otherwise(_part(col, "netloc"))
 
 
 def root_url(col: Column) -> Column:
-    return F.concat(_part(col, "scheme"), F.lit("://"), _part(col, "netloc"))
+    whole = F.concat(_part(col, "scheme"), F.lit("://"), _part(col, "netloc"))
+    return F.when(col.rlike(_ROOT), F.regexp_extract(col, _ROOT, 1)).otherwise(whole)
 
 
 def absolute_url(base: Column, href: Column, mode: str = "reference") -> Column:
@@ -88,11 +95,12 @@ def _without_dot_segments(path: Column) -> Column:
 def canonical_url(col: Column) -> Column:
     """scheme://netloc/path?query; `;params` and the fragment go."""
     query = _part(col, "query")
-    return F.concat(
+    whole = F.concat(
         root_url(col),
         _part(col, "path"),
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
     )
+    return F.when(col.rlike(_CANONICAL), col).otherwise(whole)
 
 
 def _quote_plus(col: Column) -> Column:
@@ -138,7 +146,8 @@ def request_path(col: Column, path_only: bool = False) -> Column:
 def has_valid_host(col: Column) -> Column:
     """False for a host with an unbalanced IPv6 bracket, which does not parse."""
     host = netloc(col)
-    return host.contains("[") == host.contains("]")
+    plain = ~col.contains("[") & ~col.contains("]")
+    return F.when(plain, F.lit(True)).otherwise(host.contains("[") == host.contains("]"))
 
 
 def skips_href(href: Column) -> Column:

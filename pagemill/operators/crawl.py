@@ -1,8 +1,8 @@
 """Breadth-first closure over stored pages.
 
-Joins of tables that grow with the crawl are merge joins by hint: a level or the
-visited set may look small enough to broadcast at every level, and each
-broadcast passes through the driver.
+Tables that grow with the crawl are never broadcast: a level or the visited set
+may look small enough for it at every level, and each broadcast passes through
+the driver. Their joins are merge joins by hint, or hash joins of a level's parts.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +20,9 @@ from ..session import cut_lineage, remove_folder, work_folder
 from .links import extract_links, same_domain
 from .parse import parse_html
 
-# Levels between two rewrites of the visited set into one table.
-_COMPACT_EVERY = 8
+# A level's table, its rank null without a limit; and all levels, whose folders name their depth.
+_LEVEL = "url string, rank long"
+_VISITED = "url string, depth int"
 
 
 def seeds_frame(spark: SparkSession, seeds: Iterable[str] | DataFrame) -> DataFrame:
@@ -28,7 +30,11 @@ def seeds_frame(spark: SparkSession, seeds: Iterable[str] | DataFrame) -> DataFr
     if isinstance(seeds, DataFrame):
         given = seeds
     else:
-        given = spark.createDataFrame([(i, u) for i, u in enumerate(seeds)], "seq long, url string")
+        # as an Arrow table, whose size the planner knows: few hosts are broadcast at once, and no markup is shuffled by host
+        urls = list(seeds)
+        given = spark.createDataFrame(
+            pa.table({"seq": pa.array(range(len(urls)), pa.int64()), "url": pa.array(urls, pa.string())})
+        )
     url = F.concat(root_url(F.col("url")), request_path(F.col("url")))
     return given.select("seq", url.alias("url")).groupBy("url").agg(F.min("seq").alias("seq"))
 
@@ -82,14 +88,16 @@ def page_edges(pages: DataFrame, seeds: DataFrame, mode: str = "reference") -> D
 
 @contextmanager
 def _bucketed_edges(edges: DataFrame) -> Iterator[DataFrame]:
-    """The edges as a table bucketed by `src` in the shared work folder.
+    """The edges as a table (src, links) bucketed by `src` in the shared work folder.
 
-    Every level joins on `src`; buckets spare a shuffle of all edges per level.
+    Every level joins on `src`; buckets spare a shuffle of all edges per level,
+    and a level reads one row for each page with links, not one for each link.
     """
     spark = edges.sparkSession
     name = f"pagemill_edges_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = edges.repartition(buckets, "src").write.bucketBy(buckets, "src").sortBy("src")
+    links = F.collect_list(F.struct("dst", "pos")).alias("links")  # of one page: no longer than its markup
+    writer = edges.repartition(buckets, "src").groupBy("src").agg(links).write.bucketBy(buckets, "src").sortBy("src")
     folder = work_folder(spark, "edges")
     writer.option("path", folder).saveAsTable(name)
     try:
@@ -99,6 +107,16 @@ def _bucketed_edges(edges: DataFrame) -> Iterator[DataFrame]:
         remove_folder(spark, folder)
 
 
+@contextmanager
+def _levels(spark: SparkSession) -> Iterator[str]:
+    """A folder for the tables of the levels."""
+    folder = work_folder(spark, "levels")
+    try:
+        yield folder
+    finally:
+        remove_folder(spark, folder)
+
+
 def crawl(
     pages: DataFrame,
     seeds: Iterable[str] | DataFrame,
@@ -118,30 +136,32 @@ def crawl(
     spark = pages.sparkSession
     start = seeds_frame(spark, seeds)
     ordered = bool(limit)
-    level = start.select("url", F.lit(0).alias("depth"), *(["seq"] if ordered else []))
-    level = cut_lineage(crawl_limit(level, limit, "seq"))
-    count = level.count()
-    left = limit - count if ordered else None
-    visited = level.select("url", "depth")
+    level = start.select("url", *(["seq"] if ordered else []))
+    level = crawl_limit(level, limit, "seq")
+    left = limit if ordered else None
     depth = 0
-    with _bucketed_edges(page_edges(pages, start, mode)) as edges:
-        while count and (left is None or left > 0):
-            depth += 1
-            level = cut_lineage(crawl_limit(_next_level(level, edges, visited, depth, ordered), left, "parent", "pos"))
+    with _bucketed_edges(page_edges(pages, start, mode)) as edges, _levels(spark) as folder:
+        while True:
+            # levels are columns on disk: every later level reads the URLs of all before
+            level.select("url", *(["rank"] if ordered else [])).write.parquet(f"{folder}/depth={depth}")
+            level = spark.read.schema(_LEVEL).parquet(f"{folder}/depth={depth}")
+            visited = spark.read.schema(_VISITED).parquet(folder)
             count = level.count()
             if ordered:
                 left -= count
-            visited = visited.unionByName(level.select("url", "depth"))
-            if depth % _COMPACT_EVERY == 0:
-                visited = cut_lineage(visited)
+            if not count or left == 0:
+                break
+            depth += 1
+            level = crawl_limit(_next_level(level, edges, visited, depth, ordered), left, "parent", "pos")
+        visited = cut_lineage(visited)
     stored = (
         pages.select(canonical_url(F.col("url")).alias("key"), "page_id")
         .groupBy("key")
         .agg(F.min("page_id").alias("page_id"))
     )
-    return visited.join(stored.hint("merge"), canonical_url(visited["url"]) == stored["key"], "left").select(
-        visited["url"], "depth", "page_id"
-    )
+    # the key is a column: a join on an expression computes it at every comparison of its sort
+    keyed = visited.withColumn("key", canonical_url(F.col("url")))
+    return keyed.join(stored.hint("merge"), "key", "left").select("url", "depth", "page_id")
 
 
 def _next_level(
@@ -149,15 +169,19 @@ def _next_level(
 ) -> DataFrame:
     """URLs one step beyond `level` that were not visited yet; ordered ones with the least (parent, pos)."""
     came = level.select(canonical_url(F.col("url")).alias("src"), *(["rank"] if ordered else []))
-    found = came.hint("merge").join(edges, "src").withColumnRenamed("dst", "url")
-    # one row per URL before the anti-join: hot targets shrink inside each task
+    # the edges lie in their buckets: no exchange and, as only the level is hashed, no sort of them at any level
+    found = came.hint("shuffle_hash").join(edges, "src").withColumn("link", F.explode("links"))
+    found = found.withColumns({"url": F.col("link.dst"), "pos": F.col("link.pos")})
+    # one row per URL: hot targets shrink inside each task, and URLs that were visited meet theirs in the same exchange
+    new, known = F.lit(True).alias("new"), F.lit(False).alias("new")
     if ordered:
-        step = F.struct(F.col("rank").alias("parent"), "pos")
-        fresh = found.groupBy("url").agg(F.min(step).alias("place")).select("url", "place.*")
+        step = F.struct(F.col("rank").alias("parent"), "pos").alias("step")
+        found, seen = found.select("url", new, step), visited.select("url", known, F.lit(None).alias("step"))
     else:
-        fresh = found.select("url").distinct()
-    fresh = fresh.join(visited.select("url").hint("merge"), "url", "left_anti")
-    return fresh.withColumn("depth", F.lit(depth))
+        found, seen = found.select("url", new), visited.select("url", known)
+    least = [F.min("new").alias("new"), *([F.min("step").alias("place")] if ordered else [])]
+    fresh = found.unionByName(seen).groupBy("url").agg(*least).filter("new")
+    return fresh.select("url", *(["place.*"] if ordered else []), F.lit(depth).alias("depth"))
 
 
 def crawl_summary(visited: DataFrame) -> DataFrame:

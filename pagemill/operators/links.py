@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import absolute_url, canonical_url, clean_href, has_valid_host, netloc, skips_href
@@ -16,17 +16,21 @@ def extract_links(nodes: DataFrame, mode: str = "reference") -> DataFrame:
     a row already, so this is a map: no shuffle.
     """
     anchors = nodes.filter(is_element("a") & F.col("attrs")["href"].isNotNull()).select(
-        "page_id", "url", F.col("id").alias("pos"), clean_href(F.col("attrs")).alias("href")
+        "page_id", "url", F.col("id").alias("pos"), _once(clean_href(F.col("attrs"))).alias("href")
     )
-    absolute = absolute_url(F.col("url"), F.col("href"), mode)
     return (
         anchors.filter(~skips_href(F.col("href")))
-        .withColumn("absolute", absolute)
+        .select("*", _once(absolute_url(F.col("url"), F.col("href"), mode)).alias("absolute"))
         .filter(has_valid_host(F.col("absolute")))
-        .select("page_id", "url", "pos", "href", canonical_url(F.col("absolute")).alias("link_url"))
+        .select("page_id", "url", "pos", "href", _once(canonical_url(F.col("absolute"))).alias("link_url"))
     )
 
 
+def _once(value: Column) -> Column:
+    """`value` as the one row of a generator, beneath which no filter on it moves to compute it again."""
+    return F.explode(F.array(value))
+
+
 def same_domain(links: DataFrame) -> DataFrame:
     """Links to exactly the page's own host, port and case included."""
     return links.filter(netloc(F.col("link_url")) == netloc(F.col("url")))

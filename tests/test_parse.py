@@ -162,3 +162,24 @@ def test_errors_are_their_own_table(spark):
     both = rows.union(failed)
     assert [tuple(r) for r in parse_errors(both).collect()] == [(2, "u", "why")]
     assert P.without_errors(both).collect() == rows.collect()
+
+
+def test_plain_tags_equal_the_standard_way(monkeypatch):
+    import random
+    import re
+
+    from pagemill.operators import parse
+
+    rng = random.Random(5)
+    parts = ["<p>", "</p>", "<P>", "<b >", "</b >", '<a href="/x?a=1&amp;b">', "</A>", '<a HREF="y" id="">', "<a href='z'>", '<a href="q"/>', '<i a="1" a="2">', '<i a="<p>">', '<i a="', '"', ">", "<", "&", "&amp;", "&#65;", "text ", "\n", " ", "<br>", "</br>", "<br/>", "<script>", "</script>", "<style>", "</style>", "<pre>", "</pre>", "<!-- c -->", "<!doctype html>", "<rss>", "<![CDATA[x<p>]]>", "</", "<3", "<x:y>", "<h1>"]
+    pages = ["".join(rng.choices(parts, k=rng.randrange(1, 30))) for _ in range(4000)]
+
+    def all_nodes():
+        out = parse._Columns()
+        for row, html in enumerate(pages):
+            parse._append_or_report(out, row, html)
+        return [vars(out)[k] for k in sorted(vars(out))]
+
+    quick = all_nodes()
+    monkeypatch.setattr(parse, "_PLAIN", re.compile(r"(?!)"))
+    assert quick == all_nodes()

@@ -179,3 +179,64 @@ def test_growing_tables_are_not_broadcast(spark):
 
 def test_page_frame_url(spark):
     assert page_frame(spark, "x").first().url.startswith("http://example.com/")
+
+
+def test_short_ways_of_urls_equal_the_full_pattern(spark, monkeypatch):
+    import random
+
+    from pagemill.functions import urls
+
+    rng = random.Random(11)
+    parts = ["http", "hTTp", "s", ":", "//", "/", "a", "p.q", ";", "?", "#", "=", "[", "]", " ", "\t", "\n", "\r", "\x01", "\x85", "\u2028", "\u2029", "é", "@", "x:1"]
+    given = URLS + [None] + [f"http://h{x}" for x in parts] + [f"http://h/a{x}" for x in parts] + [f"http://h/a?b{x}" for x in parts]
+    given += ["".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(600)]
+    given += ["http://" + "".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(600)]
+
+    def both(c):
+        return F.struct(urls.netloc(c), urls.root_url(c), urls.canonical_url(c), urls.has_valid_host(c))
+
+    short = one_column(spark, given, both)
+    for name in ("_ROOT", "_CANONICAL"):
+        monkeypatch.setattr(urls, name, r"\z.")  # matches nothing
+    assert short == one_column(spark, given, both)
+    assert [r[3] for r in short] == [None if u is None else (r[0].count("[") > 0) == (r[0].count("]") > 0) for u, r in zip(given, short)]
+
+
+def test_a_link_url_is_made_once(spark):
+    links = same_domain(extract_links(nodes_of(spark, '<a href="/1">x</a>')))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Generate") :]  # what reads the parsed rows
+    assert "regexp" not in below[below.index("Filter") :]
+
+
+def test_markup_is_not_shuffled_by_host_and_no_sort_makes_urls(spark):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    given = plan(page_edges(site(spark, GRAPH), seeds_frame(spark, ["http://s/0"])))
+    assert given.count("SortMergeJoin") == 1  # of links with their pages' ids
+    joins = [x for x in plan(crawl(site(spark, GRAPH), ["http://s/0"])).split("\n") if "SortMergeJoin" in x]
+    assert joins and all("regexp" not in x for x in joins)
+
+
+def test_edges_are_not_sorted_at_a_level_and_levels_leave_nothing(spark):
+    import os
+
+    from pagemill.operators.crawl import _bucketed_edges, _next_level
+    from pagemill.session import checkpoint_root
+
+    edges = page_edges(site(spark, GRAPH), seeds_frame(spark, ["http://s/0"]))
+    level = spark.createDataFrame([("http://s/0", 1)], "url string, rank long")
+    with _bucketed_edges(edges) as table:
+        step = _next_level(level, table, level, 1, False)
+        assert "Sort" not in step._jdf.queryExecution().executedPlan().toString()
+        assert {r.url for r in step.collect()} == {"http://s/1", "http://s/2"}
+    crawl(site(spark, GRAPH), ["http://s/0"], 3).count()
+    root = checkpoint_root(spark).removeprefix("file:")
+    assert not [x for x in os.listdir(root) if x.startswith(("levels", "edges"))]
+
+
+def test_seeds_may_be_none_or_null(spark):
+    assert crawl(site(spark, GRAPH), []).count() == 0
+    rows = crawl(site(spark, GRAPH), [None, "http://s/4"]).collect()
+    assert {r.url for r in rows} == {None, "http://s/4", "http://s/5?q=1"}
